@@ -99,11 +99,15 @@ def bracket(points: DataFrame, at: str, intervals: DataFrame, lo: str, hi: str,
     return best.select(*points.columns, *[C("__b")[f].alias(f) for f in fields])
 
 
-def tile_with_halo(rows: DataFrame, index: str, size: int, halo: int) -> DataFrame:
-    """Copy each row to every tile whose core or halo it falls in; `__core` marks its own tile."""
+def tile_with_halo(rows: DataFrame, index: str, size: int, halo: int, length: str) -> DataFrame:
+    """Copy each row to every tile whose core or halo it falls in; `__core` marks its own tile.
+
+    `length` names the column with the number of positions, so that no tile lies wholly outside.
+    """
     i = C(index)
-    tiles = F.sequence(F.floor((i - halo) / size), F.floor((i + halo) / size))
-    return rows.withColumn("__tile", F.explode(tiles)).withColumn("__core", F.floor(i / size) == C("__tile"))
+    first = F.greatest(F.floor((i - halo) / size), F.lit(0))
+    last = F.least(F.floor((i + halo) / size), F.floor((C(length) - 1) / size))
+    return rows.withColumn("__tile", F.explode(F.sequence(first, last))).withColumn("__core", F.floor(i / size) == C("__tile"))
 
 
 def ordinal(rows: DataFrame, keys: Sequence[str], order: Sequence[str], width: float, name: str = "rank") -> DataFrame:

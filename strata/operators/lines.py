@@ -36,7 +36,7 @@ def map_tiles(traces: DataFrame, fn: Callable[..., np.ndarray], halo: int, extra
     `first` is the trace number of its first column; `row` holds the tile's `extra` values. One long
     line becomes many tasks. `fn` returns an array shaped like `block`.
     """
-    tiled = tile_with_halo(traces.join(line_lengths(traces), LINE), "trace", tile, halo)
+    tiled = tile_with_halo(traces.join(line_lengths(traces), LINE), "trace", tile, halo, "n_traces")
     kept = [c for c in traces.columns if c not in (*LINE, "trace", "samples")]
     schema = traces.select(*LINE, "trace", "samples", *kept).schema
 
@@ -47,7 +47,27 @@ def map_tiles(traces: DataFrame, fn: Callable[..., np.ndarray], halo: int, extra
         out = fn(block, int(pdf["trace"].iloc[0]), int(pdf["n_traces"].iloc[0]), row)
         core = pdf["__core"].to_numpy()
         kept_rows = pdf.loc[core, [*LINE, "trace", *kept]].copy()
-        kept_rows.insert(3, "samples", list(np.ascontiguousarray(out[:, core].T)))
+        kept_rows.insert(3, "samples", pd.Series(list(np.ascontiguousarray(out[:, core].T)), index=kept_rows.index, dtype=object))
         return kept_rows
 
     return tiled.groupBy(*LINE, "__tile").applyInPandas(run, schema)
+
+
+def largest_line(traces: DataFrame) -> int:
+    """Traces of the longest line and channel, from the key columns alone."""
+    from strata.operators.quantiles import largest_group
+
+    return largest_group(traces, LINE)
+
+
+def trailing_median(traces: DataFrame, window: int) -> DataFrame:
+    """Background for live data: the median of the last `window` traces; a line's start is marked as warming up."""
+
+    def remove(block: np.ndarray, first: int, n: int, row: dict) -> np.ndarray:
+        out = np.empty_like(block)
+        for j in range(block.shape[1]):
+            out[:, j] = block[:, j] - np.median(block[:, max(0, j - window + 1) : j + 1], axis=1)
+        return out
+
+    moved = map_tiles(traces, remove, halo=window - 1)
+    return moved.withColumn("warming_up", C("trace") < window - 1)
