@@ -66,3 +66,30 @@ def summarise(clustered: DataFrame, keys: tuple[str, ...] = ("line_id", "cluster
         (F.max("eps") / F.min("eps")).alias("permittivity_ratio"))
     corroborated = (F.size("channels") >= 2) & permittivity_agrees(C("permittivity_ratio"))
     return out.withColumn("corroborated", corroborated)
+
+
+def run_lines(clustered: DataFrame, keys: tuple[str, ...] = ("line_id", "cluster")) -> DataFrame:
+    """The straight run of each cluster through its robust members: slope and residual.
+
+    Trial lines come from pairs of distinct places a fixed number of steps apart in position order, so
+    the trials grow with the places, not with their square; the best trial keeps the most members.
+    """
+    from pyspark.sql import Window as W
+
+    spots = clustered.groupBy(*keys, "position_m", "depth_m").agg(F.count("*").alias("n"))
+    w = W.partitionBy(*keys).orderBy("position_m", "depth_m")
+    steps = (1, 2, 3, 5, 8, 13)
+    trials = spots.select(*keys, "position_m", "depth_m", F.explode(F.array(*[F.lead(F.struct("position_m", "depth_m"), s).over(w) for s in steps])).alias("o"))
+    trials = trials.filter(C("o").isNotNull() & (C("o.position_m") != C("position_m")))
+    slope = (C("o.depth_m") - C("depth_m")) / (C("o.position_m") - C("position_m"))
+    trials = trials.select(*keys, slope.alias("a"), (C("depth_m") - slope * C("position_m")).alias("b")).distinct()
+    miss = F.abs(C("depth_m") - (C("a") * C("position_m") + C("b")))
+    near = F.when(miss <= P.RUN_RESIDUAL_M, C("n"))
+    scored = trials.join(spots, list(keys)).groupBy(*keys, "a", "b").agg(F.sum(near).alias("votes"), F.sum(near * miss).alias("total"))
+    best = scored.groupBy(*keys).agg(F.max_by(F.struct("a", "b"), F.struct("votes", -C("total"), -F.abs("a"), "a")).alias("best"))
+    kept = clustered.join(best, list(keys), "left").filter(C("best").isNull() | (F.abs(C("depth_m") - (C("best.a") * C("position_m") + C("best.b"))) <= P.RUN_RESIDUAL_M))
+    f = kept.groupBy(*keys).agg(
+        F.regr_slope("depth_m", "position_m").alias("slope"), F.regr_sxx("depth_m", "position_m").alias("sxx"), F.regr_syy("depth_m", "position_m").alias("syy"),
+        F.regr_sxy("depth_m", "position_m").alias("sxy"), F.count("*").alias("n"))
+    left = F.greatest(F.when(C("sxx") > 0, C("syy") - C("sxy") * C("sxy") / C("sxx")).otherwise(C("syy")), F.lit(0.0))
+    return f.select(*keys, F.coalesce("slope", F.lit(0.0)).alias("slope"), F.sqrt(left / C("n")).alias("residual_m"))

@@ -19,6 +19,7 @@ from strata import params as P
 from strata.functions.physics import gain_curve
 from strata.operators.lines import LINE, line_lengths, map_tiles
 from strata.operators.quantiles import group_quantiles
+from strata.session import cut_lineage
 
 C = F.col
 
@@ -156,7 +157,7 @@ def migrate_block(block: np.ndarray, spacing: float, dt: float, velocity: float,
     t = np.arange(n) * dt
     out, weight_sum = np.zeros_like(block), np.zeros_like(block)
     for away in range(min(aperture, width - 1) + 1):
-        travel = np.hypot(t, 2.0 * away * spacing / velocity)
+        travel = np.sqrt(t * t + (2.0 * away * spacing / velocity) ** 2)
         rows = np.rint(travel / dt).astype(int)
         k = int(np.searchsorted(rows, n))
         if k == 0:
@@ -227,7 +228,7 @@ def energy(traces: DataFrame) -> DataFrame:
 
 def normalized_envelope(traces: DataFrame, line_rows: int | None = None) -> DataFrame:
     """Energy over its depth's own background. `line_rows`: a checked bound on traces per line, if known."""
-    e = energy(traces)
+    e = cut_lineage(energy(traces))  # read three times below: two statistics and the scaling
     n = 1024
     bound = None if line_rows is None else line_rows * n
     s = samples_of(e).join(e.groupBy(*LINE).agg(F.first("dt").alias("dt")), LINE)

@@ -102,9 +102,9 @@ def migrated_sql(source: str, aperture: int, velocity: float) -> str:
       JOIN {source} b ON b.line_id = o.line_id AND b.channel = o.channel AND b.trace = o.trace + o.d AND b.sample = o.row GROUP BY o.line_id, o.channel, o.trace, o.i"""
 
 
-@query("P08_migration", f"SELECT line_id, channel, trace, sample, round(amp, 6) + 0.0 AS amp FROM ({migrated_sql('samples', 8, 0.1)})")
+@query("P08_migration", f"SELECT line_id, channel, trace, sample, round(amp, 6) + 0.0 AS amp FROM ({migrated_sql('samples', 8, 0.0999)})")
 def _(spark, sf):
-    return long(R.migrate(V.traces(spark, sf), 0.1, 8))
+    return long(R.migrate(V.traces(spark, sf), 0.0999, 8))
 
 
 @query("P09_envelope", f"""
