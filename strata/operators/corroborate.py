@@ -79,7 +79,8 @@ def run_lines(clustered: DataFrame, keys: tuple[str, ...] = ("line_id", "cluster
     spots = clustered.groupBy(*keys, "position_m", "depth_m").agg(F.count("*").alias("n"))
     w = W.partitionBy(*keys).orderBy("position_m", "depth_m")
     steps = (1, 2, 3, 5, 8, 13)
-    trials = spots.select(*keys, "position_m", "depth_m", F.explode(F.array(*[F.lead(F.struct("position_m", "depth_m"), s).over(w) for s in steps])).alias("o"))
+    later = F.array(*[F.lead(F.struct("position_m", "depth_m"), s).over(w) for s in steps])
+    trials = spots.withColumn("later", later).select(*keys, "position_m", "depth_m", F.explode("later").alias("o"))
     trials = trials.filter(C("o").isNotNull() & (C("o.position_m") != C("position_m")))
     slope = (C("o.depth_m") - C("depth_m")) / (C("o.position_m") - C("position_m"))
     trials = trials.select(*keys, slope.alias("a"), (C("depth_m") - slope * C("position_m")).alias("b")).distinct()

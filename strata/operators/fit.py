@@ -212,7 +212,8 @@ def focusing_sweep(traces: DataFrame, apexes: DataFrame, half_width: int = 60, h
             out.append(focusing_of(block, int(group[0]["trace"]), a, s, sp, d, half_height, aperture))
         return pd.Series(out)
 
-    n = neighbourhood(traces, apexes, half_width, ["sample"]).filter(F.size("near") >= 3)
+    n = neighbourhood(traces, apexes, half_width, ["sample"])
+    n = n.filter((F.size("near") >= 3) & F.exists("near", lambda x: x["trace"] == C("apex_trace")))
     e = n.select(*LINE, "apex_id", run("near", "apex_trace", "sample", "spacing", "dt").alias("energies"))
     best = F.array_position("energies", F.array_max("energies"))
     ordered = F.array_sort("energies")

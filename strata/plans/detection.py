@@ -148,8 +148,8 @@ def _(spark, sf):
     return D.ridge_points(normalized(spark, sf), V.boxes(spark, sf)).withColumn("peak", F.round("peak", 5))
 
 
-def _fit_sql(draws: int) -> str:
-    return f"""{_RIDGE},
+def _fit_sql(ridge: str, draws: int) -> str:
+    return f"""{ridge},
   pts AS (SELECT line_id, channel, box_id, trace - avg(trace) OVER w AS x, CAST(sample AS DOUBLE) AS t, row_number() OVER (PARTITION BY line_id, channel, box_id ORDER BY trace) - 1 AS i, count(*) OVER w AS n, avg(trace) OVER w AS mid
      FROM ridge WINDOW w AS (PARTITION BY line_id, channel, box_id)),
   bx AS (SELECT DISTINCT line_id, channel, box_id, n, mid FROM pts WHERE n >= 3),
@@ -170,30 +170,26 @@ def _fit_sql(draws: int) -> str:
      f.votes AS n_inliers, f.n AS n_total FROM ft f JOIN inl i USING (line_id, channel, box_id) WHERE f.fl >= 0 GROUP BY f.line_id, f.channel, f.box_id, f.mid, f.x0, f.fl, f.c, f.tm, f.votes, f.n)"""
 
 
-_FITS = _fit_sql(P.RANSAC_DRAWS)
+_FITS = _fit_sql(_RIDGE, P.RANSAC_DRAWS)
+_ARCH_FITS = _fit_sql("ridge AS (SELECT * FROM arch_points)", P.RANSAC_DRAWS)
 
 
-@query("D06_robust_hyperbola_fit", f"WITH {_FITS} SELECT line_id, channel, box_id, round(x0, 3) AS x0, round(t0, 3) AS t0, round(r2, 3) + 0.0 AS r2, CAST(n_inliers AS INTEGER) AS n_inliers, CAST(n_total AS INTEGER) AS n_total FROM fits0")
+@query("D06_robust_hyperbola_fit", f"WITH {_ARCH_FITS} SELECT box_id, round(x0, 3) + 0.0 AS x0, round(t0, 3) AS t0, round(k, 3) AS k, round(r2, 3) + 0.0 AS r2, CAST(n_inliers AS INTEGER) AS n_inliers, CAST(n_total AS INTEGER) AS n_total FROM fits0")
 def _(spark, sf):
-    p = D.ridge_points(normalized(spark, sf), V.boxes(spark, sf))
-    f = T.fit_hyperbolas(p, [*LINE, "box_id"]).filter(C("k").isNotNull())
-    return f.select(*LINE, "box_id", r("x0", "x0", 3), r("t0", "t0", 3), r("r2", "r2", 3), "n_inliers", "n_total")
+    f = T.fit_hyperbolas(V.arch_points(spark, sf), ["box_id"]).filter(C("k").isNotNull())
+    return f.select("box_id", r("x0", "x0", 3), r("t0", "t0", 3), r("k", "k", 3), r("r2", "r2", 3), "n_inliers", "n_total")
 
 
-def region_fits(spark, sf):
-    p = D.ridge_points(normalized(spark, sf), V.boxes(spark, sf))
-    lines = V.line_table(spark, sf).select(*LINE, "dt", "spacing", "n_samples")
-    return T.physical_fits(p, [*LINE, "box_id"], lines)
-
-
-_PHYS = f"""{_FITS}, ph AS (SELECT *, 2 * k * 0.025 / 0.2 AS velocity, t0 * 0.2 AS apex_ns FROM fits0),
+_PHYS = f"""{_ARCH_FITS}, ph AS (SELECT *, 2 * k * 0.025 / 0.4 AS velocity, t0 * 0.4 AS apex_ns FROM fits0),
   rg AS (SELECT *, CASE WHEN velocity <= 0.2998 THEN pow(0.2998 / velocity, 2) ELSE 1.0 END AS eps, CASE WHEN velocity <= 0.2998 THEN velocity * apex_ns / 2 ELSE 0.0 END AS depth FROM ph),
-  rj AS (SELECT *, CASE WHEN velocity > 0.2998 THEN 'faster_than_light' WHEN apex_ns < 3.07 THEN 'direct_wave' WHEN t0 > 0.9 * 64 THEN 'record_end' WHEN n_inliers < 8 THEN 'few_inliers' WHEN eps >= 90 THEN 'implausible_permittivity' END AS reason FROM rg)"""
+  rj AS (SELECT *, CASE WHEN velocity > 0.2998 THEN 'faster_than_light' WHEN apex_ns < 3.07 THEN 'direct_wave' WHEN t0 > 0.9 * 54 THEN 'record_end' WHEN n_inliers < 8 THEN 'few_inliers' WHEN eps >= 90 THEN 'implausible_permittivity' END AS reason FROM rg)"""
 
 
-@query("D07_region_fits", f"WITH {_PHYS} SELECT line_id, channel, box_id, round(velocity, 3) AS velocity, round(depth, 3) AS depth_m, reason FROM rj")
+@query("D07_region_fits", f"WITH {_PHYS} SELECT box_id, round(velocity, 3) AS velocity, round(eps, 2) AS dielectric, round(depth, 3) AS depth_m, reason FROM rj")
 def _(spark, sf):
-    return region_fits(spark, sf).select(*LINE, "box_id", r("velocity", "velocity", 3), r("depth_m", "depth_m", 3), "reason")
+    p = V.arch_points(spark, sf)
+    lines = p.select(*LINE).distinct().select(*LINE, F.lit(0.4).alias("dt"), F.lit(0.025).alias("spacing"), F.lit(54).alias("n_samples"))
+    return T.physical_fits(p, [*LINE, "box_id"], lines).select("box_id", r("velocity", "velocity", 3), r("dielectric", "dielectric", 2), r("depth_m", "depth_m", 3), "reason")
 
 
 _COH = """coh AS (SELECT b.line_id, b.channel, b.box_id, coalesce(avg(c), 0.0) AS coherence FROM boxes b LEFT JOIN (
@@ -413,12 +409,11 @@ def _(spark, sf):
     return R.samples_of(T.image_energy(t, largest_line(t)), "v").select(*LINE, "trace", "sample", r("v", "energy", 5))
 
 
-@query("D17_A30_screenshot_velocity", f"""WITH {_FITS}, v AS (SELECT *, 0.02 / (0.05 * k) AS ratio FROM fits0)
-  SELECT line_id, channel, box_id, round(ratio, 3) AS velocity_ratio, CASE WHEN r2 < 0.95 THEN 'poor fit' WHEN NOT (7.3 * ratio * ratio BETWEEN 1.0 AND 90.0) THEN 'impossible dielectric' END AS rejected FROM v""")
+@query("D17_A30_screenshot_velocity", f"""WITH {_ARCH_FITS}, v AS (SELECT *, 0.02 / (0.05 * k) AS ratio FROM fits0)
+  SELECT box_id, round(ratio, 3) AS velocity_ratio, CASE WHEN r2 < 0.95 THEN 'poor fit' WHEN NOT (7.3 * ratio * ratio BETWEEN 1.0 AND 90.0) THEN 'impossible dielectric' END AS rejected FROM v""")
 def _(spark, sf):
-    p = D.ridge_points(normalized(spark, sf), V.boxes(spark, sf))
-    f = T.screenshot_velocity(T.fit_hyperbolas(p, [*LINE, "box_id"]), 7.3, F.lit(0.05), F.lit(0.02))
-    return f.select(*LINE, "box_id", r("velocity_ratio", "velocity_ratio", 3), "rejected")
+    f = T.screenshot_velocity(T.fit_hyperbolas(V.arch_points(spark, sf), ["box_id"]), 7.3, F.lit(0.05), F.lit(0.02))
+    return f.select("box_id", r("velocity_ratio", "velocity_ratio", 3), "rejected")
 
 
 @query("J24_empty_stretches", """

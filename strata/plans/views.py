@@ -353,3 +353,46 @@ def words(spark: SparkSession, sf: str) -> DataFrame:
             (F.floor(i / 12) * 5.0).alias("top"),
         )
     )
+
+
+VIEW_SQL["arch_points"] = """
+  SELECT event_id // 40 AS line_id, 'RAD' AS channel, event_id // 40 AS box_id, CAST(event_id % 40 AS INTEGER) AS trace,
+         CAST(round_even(sqrt(pow(20 + (event_id // 40) % 30, 2) + pow((event_id % 40 - 20) / (0.8 + ((event_id // 40) % 7) * 0.15), 2)) + (value - 50) / 20, 0) AS INTEGER) AS sample
+  FROM events"""
+
+
+def arch_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Noisy hyperbolas, forty points each, some of them far off the curve."""
+    e = F.col("event_id")
+    box = F.floor(e / 40)
+    t0, k = 20 + box % 30, F.lit(0.8) + (box % 7) * 0.15
+    t = F.sqrt(F.pow(t0, F.lit(2)) + F.pow((e % 40 - 20) / k, F.lit(2))) + (F.col("value") - 50) / 20
+    return table(spark, sf, "events").select(
+        box.alias("line_id"), F.lit("RAD").alias("channel"), box.alias("box_id"), (e % 40).cast("int").alias("trace"), F.rint(t).cast("int").alias("sample"))
+
+
+VIEW_SQL["run_targets"] = """
+  SELECT o_custkey AS site, o_orderkey AS target_id, CAST(o_orderkey % 5 AS INTEGER) AS line_rank, (o_orderkey * 37 % 1000) * 0.0012 AS east,
+         (o_orderkey % 5) * 1.0 AS north, 0.8 + (o_orderkey * 13 % 100) * 0.004 AS depth_m FROM orders"""
+
+
+def run_targets(spark: SparkSession, sf: str) -> DataFrame:
+    o = F.col("o_orderkey")
+    return table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("site"), o.alias("target_id"), (o % 5).cast("int").alias("line_rank"), ((o * 37) % 1000 * F.lit(0.0012)).alias("east"),
+        ((o % 5) * F.lit(1.0)).alias("north"), (F.lit(0.8) + ((o * 13) % 100) * 0.004).alias("depth_m"))
+
+
+VIEW_SQL["track_points"] = """
+  SELECT o_custkey AS line_id, o_custkey % 60 AS survey_id, o_orderkey AS point_id, (o_orderkey % 400) * 0.025 AS distance_m,
+         100 + (o_orderkey % 400) * 0.025 * (0.6 + (o_custkey % 9) * 0.1) * (CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE -1 END) + (o_orderkey % 7) * 0.02 AS east,
+         200 + (o_orderkey % 400) * 0.025 * 0.3 + (o_orderkey % 5) * 0.03 AS north FROM orders"""
+
+
+def track_points(spark: SparkSession, sf: str) -> DataFrame:
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    d = (o % 400) * F.lit(0.025)
+    sign = F.when(c % 2 == 0, 1).otherwise(-1)
+    return table(spark, sf, "orders").select(
+        c.alias("line_id"), (c % 60).alias("survey_id"), o.alias("point_id"), d.alias("distance_m"),
+        (100 + d * (F.lit(0.6) + (c % 9) * 0.1) * sign + (o % 7) * F.lit(0.02)).alias("east"), (200 + d * 0.3 + (o % 5) * F.lit(0.03)).alias("north"))
