@@ -121,3 +121,18 @@ def ordinal(rows: DataFrame, keys: Sequence[str], order: Sequence[str], width: f
     counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     here = F.row_number().over(W.partitionBy(*keys, "__cell").orderBy(*order))
     return rows.withColumn("__here", here).join(counts, [*keys, "__cell"]).withColumn(name, C("__before") + C("__here")).drop("__cell", "__here", "__before")
+
+
+def assign_in_order(edges: DataFrame, keys: Sequence[str], left: str, right: str, cost: Sequence[str]) -> DataFrame:
+    """Each left row in turn takes its cheapest right row that is still free; one-to-one.
+
+    `cost` starts with the left rows' order. A group holds the edges of one page or one line, and only
+    pairs within reach of each other are edges, so the fold runs over a short list.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
+    pair = F.struct(C(left).alias("l"), C(right).alias("r"))
+    listed = edges.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(*cost, pair.alias("__p")))), lambda e: e["__p"]).alias("e"))
+    start = F.array().cast(f"array<struct<l:{kinds[left]},r:{kinds[right]}>>")
+    taken = F.aggregate(
+        "e", start, lambda kept, e: F.when(F.exists(kept, lambda k: (k["l"] == e["l"]) | (k["r"] == e["r"])), kept).otherwise(F.concat(kept, F.array(e))))
+    return listed.select(*keys, F.explode(taken).alias("m")).select(*keys, C("m.l").alias(left), C("m.r").alias(right))

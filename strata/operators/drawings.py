@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strata import params as P
+from strata.functions import text
+from strata.functions.geo import from_local, geodesic_m, to_local
 from strata.functions.grading import callout_status
+from strata.operators.bands import assign_in_order
+from strata.session import cut_lineage
 
 C = F.col
 
@@ -17,3 +23,248 @@ def drawing_counters(callouts: DataFrame) -> DataFrame:
         F.struct(F.lit("status").alias("counter"), callout_status(C("depth_m"), C("safe_path_m")).alias("value")),
         F.struct(F.lit("utility").alias("counter"), C("utility").alias("value")))
     return callouts.select(F.explode(kinds).alias("k")).groupBy("k.counter", "k.value").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- words on a page
+# A word table has drawing, page, word_id (reading order of the file), text, x0, x1, top, bottom.
+PAGE = ["drawing", "page"]
+# Two-word utility names and what they are called.
+TWO_WORD_NAMES = {("STORM", "WATER"): "STORM WATER", ("PIPE", "LINE"): "PIPE LINE", ("U", "C"): "UC"}
+SAME_LINE, NUMBER_REACH, SECTION_SPACING_M = 1.5, 15.0, 20.0
+
+
+def near_words(left: DataFrame, right: DataFrame, top: tuple[float, float], x0: tuple[float, float] | None, how: str = "inner", extra: Column | None = None) -> DataFrame:
+    """Words of one page with `right` between `top` points below `left` and, from `left`'s end, between `x0` points to its right.
+
+    Words meet in strips of a page's height, so a page full of words is not paired with itself.
+    """
+    height = 8.0
+    r = right.select(*[C(c).alias(f"r_{c}") for c in right.columns]).withColumn("r_strip", F.floor(C("r_top") / height))
+    strips = F.sequence(F.floor((C("top") + top[0]) / height), F.floor((C("top") + top[1]) / height))
+    meets = (C("drawing") == C("r_drawing")) & (C("page") == C("r_page")) & (C("strip") == C("r_strip")) & (C("r_top") - C("top")).between(*top)
+    if x0 is not None:
+        meets = meets & (C("r_x0") - C("x1")).between(*x0)
+    if extra is not None:
+        meets = meets & extra
+    return left.withColumn("strip", F.explode(strips)).join(r, meets, how).drop("strip", "r_strip", "r_drawing", "r_page")
+
+
+def depth_lines(words: DataFrame) -> DataFrame:
+    """Each 'Depth ...' label as one box, with its number when one is glued to it or follows it."""
+    d = words.filter(text.is_depth_word(C("text"))).withColumn("glued", text.depth_value(C("text")))
+    numbers = words.filter(text.number_value(C("text")).isNotNull()).withColumn("value", text.number_value(C("text")))
+    after = near_words(d.filter(C("glued").isNull()), numbers, (-SAME_LINE, SAME_LINE), (0.0, NUMBER_REACH), extra=C("word_id") != C("r_word_id"))
+    first = after.groupBy(*PAGE, "word_id").agg(F.min_by(F.struct("r_value", "r_x1", "r_bottom"), "r_word_id").alias("n"))
+    j = d.join(first, [*PAGE, "word_id"], "left")
+    return j.select(*PAGE, C("word_id").alias("line_id"), "x0", F.coalesce("n.r_x1", "x1").alias("x1"), "top", F.greatest("bottom", F.coalesce("n.r_bottom", "bottom")).alias("bottom"),
+                    F.coalesce("glued", "n.r_value").alias("value"))
+
+
+def utility_names(words: DataFrame) -> DataFrame:
+    """Utility names; two words side by side that make one name are merged."""
+    w = words.withColumn("text", F.upper("text"))
+    pairs = F.lit(False)
+    name = None
+    for (a, b), merged in TWO_WORD_NAMES.items():
+        here = (C("text") == a) & (C("r_text") == b)
+        pairs = pairs | here
+        name = F.when(here, merged) if name is None else name.when(here, merged)
+    firsts = w.filter(C("text").isin(*{a for a, _ in TWO_WORD_NAMES}))
+    seconds = w.filter(C("text").isin(*{b for _, b in TWO_WORD_NAMES}))
+    both = near_words(firsts, seconds, (-SAME_LINE, SAME_LINE), (0.0, 6.0), extra=pairs & (C("word_id") != C("r_word_id")))
+    both = both.withColumn("name", name).groupBy(*PAGE, "word_id", "x0", "top", "bottom").agg(F.min_by(F.struct("name", "r_word_id", "r_x1", "r_bottom"), "r_word_id").alias("n"))
+    merged = both.select(*PAGE, "word_id", C("n.name").alias("utility"), "x0", C("n.r_x1").alias("x1"), "top", F.greatest("bottom", "n.r_bottom").alias("bottom"))
+    used = both.select(*PAGE, C("n.r_word_id").alias("word_id"))
+    single = w.filter(C("text").isin(*P.UTILITIES)).join(used, [*PAGE, "word_id"], "left_anti").select(*PAGE, "word_id", C("text").alias("utility"), "x0", "x1", "top", "bottom")
+    return merged.unionByName(single)
+
+
+def callouts(names: DataFrame, lines: DataFrame) -> DataFrame:
+    """Names with the depth line right below them; each line serves one name, in reading order."""
+    edges = near_words(names, lines, (2.5, 8.0), None, extra=(C("r_x0") < C("x1")) & (C("x0") < C("r_x1")))
+    edges = edges.withColumn("gap", C("r_top") - C("top"))
+    took = assign_in_order(edges, PAGE, "word_id", "r_line_id", ["top", "x0", "word_id", "gap", "r_line_id"])
+    line = lines.select(*PAGE, C("line_id").alias("r_line_id"), C("value").alias("depth_m"), C("x0").alias("lx0"), C("x1").alias("lx1"), C("bottom").alias("lb"))
+    j = took.join(names, [*PAGE, "word_id"]).join(line, [*PAGE, "r_line_id"])
+    return j.select(*PAGE, "word_id", "utility", "depth_m", ((C("x0") + C("x1")) / 2).alias("centre"), F.least("x0", "lx0").alias("x0"), "top", F.greatest("x1", "lx1").alias("x1"), C("lb").alias("bottom"))
+
+
+def page_layout(words: DataFrame, pages: DataFrame) -> DataFrame:
+    """Per page: where the legend starts, whether the plan is the top half, and where it ends."""
+    w = words.join(pages, PAGE)
+    legend = w.groupBy(*PAGE, "height").agg(F.min_by("x0", F.when(F.upper("text") == "LEGEND", C("word_id"))).alias("legend_x0"))
+    k = w.join(legend.drop("height"), PAGE).filter(C("legend_x0").isNull() | (C("x1") < C("legend_x0") - 10))
+    section = text.is_tick_label(C("text")) & text.tick_value(C("text")).isNull()
+    tick = text.tick_value(C("text")).isNotNull()
+    heading = (C("text") == "L-SECTION") & (C("top") > C("height") / 3)
+    f = k.groupBy(*PAGE).agg(
+        F.avg(F.when(section, C("top"))).alias("section_top"), F.avg(F.when(tick, C("top"))).alias("tick_top"), F.min_by("top", F.when(heading, C("word_id"))).alias("heading_top"))
+    f = legend.join(f, PAGE, "left")
+    top = F.when(C("section_top").isNotNull(), C("section_top") >= C("height") / 2).when(C("tick_top").isNotNull(), C("tick_top") < C("height") / 2).when(C("heading_top").isNotNull(), True)
+    split = F.when(C("plan_is_top") & C("heading_top").isNotNull(), C("heading_top")).otherwise(C("height") / 2)
+    return f.withColumn("plan_is_top", top).withColumn("split", split).select(*PAGE, "legend_x0", "plan_is_top", "split")
+
+
+def drawing_words(words: DataFrame, layout: DataFrame) -> DataFrame:
+    return words.join(layout, PAGE).filter(C("legend_x0").isNull() | (C("x1") < C("legend_x0") - 10)).select(*words.columns)
+
+
+def plan_words(words: DataFrame, layout: DataFrame) -> DataFrame:
+    """Words of the plan; the whole drawing when the plan cannot be told apart."""
+    j = words.join(layout, PAGE).filter(C("legend_x0").isNull() | (C("x1") < C("legend_x0") - 10))
+    return j.filter(C("plan_is_top").isNull() | ((C("top") < C("split")) == C("plan_is_top"))).select(*words.columns)
+
+
+def chainage_fit(plan: DataFrame) -> DataFrame:
+    """Straight-line chainage per page from its plan ticks: two distinct values and some spread, or null."""
+    t = plan.withColumn("v", text.tick_value(C("text"))).filter(C("v").isNotNull()).withColumn("x", (C("x0") + C("x1")) / 2)
+    f = t.groupBy(*PAGE).agg(
+        F.countDistinct("v").alias("values"), F.regr_sxx("v", "x").alias("sxx"), F.regr_slope("v", "x").alias("a"), F.regr_intercept("v", "x").alias("b"),
+        F.min_by(F.struct("x", "v"), "word_id").alias("first_tick"))
+    good = (C("values") >= 2) & (C("sxx") > 0)
+    return f.select(*PAGE, F.when(good, C("a")).alias("a"), F.when(good, C("b")).alias("b"), "first_tick")
+
+
+def section_scale(words: DataFrame) -> DataFrame:
+    """Points per metre from a page's first two long-section labels, which are 20 m apart."""
+    label = text.is_tick_label(C("text")) & text.tick_value(C("text")).isNull()
+    s = words.filter(label).select(*PAGE, F.struct("x0", "word_id", ((C("x0") + C("x1")) / 2).alias("x")).alias("s"))
+    first = s.groupBy(*PAGE).agg(F.min("s").alias("one"))
+    second = s.join(first, PAGE).filter(C("s") > C("one")).groupBy(*PAGE, "one").agg(F.min("s").alias("two"))
+    return second.filter(F.abs(C("two.x") - C("one.x")) >= 1.0).select(*PAGE, C("one.x").alias("origin"), ((C("two.x") - C("one.x")) / SECTION_SPACING_M).alias("per_m"))
+
+
+def page_chainage(fits: DataFrame, scales: DataFrame, pages: DataFrame, ordered: DataFrame) -> DataFrame:
+    """metres = a * x + b and where that came from: plan ticks, one tick with the section's scale, or sheet order."""
+    j = pages.select(*PAGE).join(fits, PAGE, "left").join(scales, PAGE, "left").join(ordered, "drawing", "left")
+    start = F.when(C("in_order"), (C("page") - 1) * P.SHEET_LENGTH_M)
+    one = C("per_m").isNotNull() & C("first_tick").isNotNull()
+    sheet = C("per_m").isNotNull() & start.isNotNull()
+    a = F.when(C("a").isNotNull(), C("a")).when(one | sheet, 1 / C("per_m"))
+    b = F.when(C("a").isNotNull(), C("b")).when(one, C("first_tick.v") - C("first_tick.x") / C("per_m")).when(sheet, start - C("origin") / C("per_m"))
+    source = F.when(C("a").isNotNull() | one, "plan_ticks").when(sheet, "sheet_order").otherwise("unavailable")
+    return j.select(*PAGE, a.alias("a"), b.alias("b"), source.alias("chainage_source"))
+
+
+def order_is_chainage(plan: DataFrame, pages: DataFrame) -> DataFrame:
+    """Do a drawing's pages run in chainage order, sixty metres each, as far as their ticks can tell?"""
+    t = plan.withColumn("v", text.tick_value(C("text"))).filter(C("v").isNotNull())
+    last = pages.groupBy("drawing").agg(F.max("page").alias("last_page"), F.countDistinct("page").alias("n_pages"))
+    j = t.join(last, "drawing")
+    low = (C("page") - 1) * P.SHEET_LENGTH_M - 5.0 <= C("v")
+    high = (C("page") == C("last_page")) | (C("v") <= C("page") * P.SHEET_LENGTH_M + 5.0)
+    g = j.groupBy("drawing").agg(F.bool_and(low & high).alias("fits"), F.countDistinct("page").alias("checked"))
+    g = last.join(g, "drawing", "left")
+    return g.select("drawing", F.coalesce(C("fits") & (C("checked") >= F.least(F.lit(3), C("n_pages"))), F.lit(False)).alias("in_order"))
+
+
+def safe_paths(words: DataFrame, lines: DataFrame) -> DataFrame:
+    """The recommended safe depth of each page: the first depth line 3 to 18 points under 'Safe'."""
+    safe = words.filter(C("text") == "Safe")
+    near = near_words(safe, lines.filter(C("value").isNotNull()), (3.0, 18.0), None, extra=F.abs(C("r_x0") - C("x0")) <= 25)
+    return near.groupBy(*PAGE).agg(F.min_by("r_value", F.struct("top", "r_line_id")).alias("safe_path_m"))
+
+
+def printed_positions(plan: DataFrame) -> DataFrame:
+    """Each printed latitude with the longitude directly beneath it."""
+    split = plan.filter(C("text").isin("Lat", "Long"))
+    after = near_words(split, plan, (-SAME_LINE, SAME_LINE), (0.0, 5.0), extra=C("word_id") != C("r_word_id"))
+    joined = after.groupBy(*PAGE, "word_id").agg(F.min_by("r_text", "r_word_id").alias("tail"))
+    w = plan.join(joined, [*PAGE, "word_id"], "left").withColumn("text", F.concat("text", F.coalesce("tail", F.lit("")))).drop("tail")
+    lat = w.filter(C("text").rlike(text.LATITUDE)).withColumn("lat", F.regexp_extract("text", text.LATITUDE, 1).cast("double"))
+    lon = w.filter(C("text").rlike(text.LONGITUDE)).withColumn("lon", F.regexp_extract("text", text.LONGITUDE, 1).cast("double"))
+    near = near_words(lat, lon, (2.0, 8.0), None, extra=F.abs(C("r_x0") - C("x0")) <= 8)
+    return near.groupBy(*PAGE, "word_id", "lat", "x0", "x1").agg(F.min_by("r_lon", "r_word_id").alias("lon")).select(*PAGE, "word_id", "lat", "lon", ((C("x0") + C("x1")) / 2).alias("centre"))
+
+
+def read_drawings(words: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(call-outs with chainage, safe path per page, printed points with chainage) of every drawing."""
+    layout = cut_lineage(page_layout(words, pages))
+    plan = cut_lineage(plan_words(words, layout))  # read by every step below
+    drawing = drawing_words(words, layout)
+    where = page_chainage(chainage_fit(plan), section_scale(words), pages, order_is_chainage(plan, pages))
+    at = F.round(C("a") * C("centre") + C("b"), 1)
+    found = callouts(utility_names(plan), depth_lines(plan)).join(where, PAGE)
+    found = found.withColumn("chainage_m", at).drop("a", "b")
+    unclear = layout.filter(C("plan_is_top").isNull()).select(*PAGE)
+    return first_of_repeats(found, unclear), safe_paths(drawing, depth_lines(drawing)), printed_positions(plan).join(where, PAGE).select(*PAGE, "lat", "lon", at.alias("chainage_m"))
+
+
+def first_of_repeats(found: DataFrame, unclear_pages: DataFrame) -> DataFrame:
+    """Where plan and long section were read together, drop a call-out that repeats an earlier one at the same x."""
+    from strata.operators.bands import band_join
+
+    f = found.join(unclear_pages, PAGE, "left_semi").withColumn("depth_key", F.coalesce("depth_m", F.lit(-1.0)))
+    other = f.select(*PAGE, "utility", "depth_key", C("x0").alias("o_x0"), C("top").alias("o_top"), C("word_id").alias("o_id"))
+    earlier = (C("o_top") < C("top")) | ((C("o_top") == C("top")) & (C("o_id") < C("word_id")))
+    kept = band_join(f, other, [*PAGE, "utility", "depth_key"], [("x0", "o_x0", 5.0)], "left_anti", earlier).drop("depth_key")
+    return found.join(unclear_pages, PAGE, "left_anti").unionByName(kept.select(*found.columns))
+
+
+# ---------------------------------------------------------------- printed points and placement
+
+def distinct_anchors(points: DataFrame) -> DataFrame:
+    """Printed points in chainage order, the first of each cluster closer than a metre.
+
+    Chainage labels have at most four digits, so a drawing keeps at most ten thousand points.
+    """
+    p = points.filter(C("chainage_m").isNotNull()).select("drawing", C("chainage_m").cast("double").alias("chainage_m"), "lat", "lon").distinct()
+    listed = p.groupBy("drawing").agg(F.array_sort(F.collect_list(F.struct("chainage_m", "lat", "lon"))).alias("ps"))
+    start = F.array().cast("array<struct<chainage_m:double,lat:double,lon:double>>")
+    kept = F.aggregate("ps", start, lambda acc, x: F.when((F.size(acc) > 0) & (x["chainage_m"] - F.try_element_at(acc, F.lit(-1))["chainage_m"] < 1.0), acc).otherwise(F.concat(acc, F.array(x))))
+    return listed.select("drawing", F.explode(kept).alias("a")).select("drawing", "a.*")
+
+
+def drop_misprints(anchors: DataFrame) -> DataFrame:
+    """Take out, one per drawing and round, the first point that disagrees with its neighbours while they agree."""
+    w = W.partitionBy("drawing").orderBy("chainage_m")
+    spot = F.struct("chainage_m", "lat", "lon")
+
+    def agree(a: Column, b: Column) -> Column:
+        step = geodesic_m(a["lat"], a["lon"], b["lat"], b["lon"])
+        dc = F.abs(b["chainage_m"] - a["chainage_m"])
+        return (F.abs(step - dc) <= 20.0) | ((step <= 2.0 * dc) & (dc <= 2.0 * step))
+
+    kept = cut_lineage(anchors)
+    while True:
+        s = kept.select("*", F.lag(spot).over(w).alias("p1"), F.lag(spot, 2).over(w).alias("p2"), F.lead(spot).over(w).alias("n1"), F.lead(spot, 2).over(w).alias("n2"), F.count("*").over(W.partitionBy("drawing")).alias("n"))
+        bad = (
+            F.when(C("n") <= 2, False).when(C("p1").isNull(), ~agree(spot, C("n1")) & agree(C("n1"), C("n2")))
+            .when(C("n1").isNull(), ~agree(C("p1"), spot) & agree(C("p2"), C("p1"))).otherwise(~agree(C("p1"), spot) & ~agree(spot, C("n1")) & agree(C("p1"), C("n1"))))
+        first = cut_lineage(s.filter(bad).groupBy("drawing").agg(F.min("chainage_m").alias("chainage_m")))
+        if first.isEmpty():
+            return kept
+        kept = cut_lineage(kept.join(first, ["drawing", "chainage_m"], "left_anti"))
+
+
+def assess_drawings(anchors: DataFrame) -> DataFrame:
+    """Whether a drawing's printed points can place its call-outs, and the hold-out error of doing so."""
+    w = W.partitionBy("drawing").orderBy("chainage_m")
+    s = anchors.select("*", *[F.lag(c).over(w).alias(f"p_{c}") for c in ("chainage_m", "lat", "lon")], *[F.lead(c).over(w).alias(f"n_{c}") for c in ("chainage_m", "lat", "lon")])
+    t = (C("chainage_m") - C("p_chainage_m")) / (C("n_chainage_m") - C("p_chainage_m"))
+    east, north = to_local(C("n_lat"), C("n_lon"), C("p_lat"), C("p_lon"))
+    la, lo = from_local(east * t, north * t, C("p_lat"), C("p_lon"))
+    s = s.withColumn("error", geodesic_m(C("lat"), C("lon"), la, lo)).withColumn("step", geodesic_m(C("p_lat"), C("p_lon"), C("lat"), C("lon")))
+    g = s.groupBy("drawing").agg(F.count("*").alias("points"), F.sum("step").alias("walked"), (F.max("chainage_m") - F.min("chainage_m")).alias("span"), F.array_sort(F.array_compact(F.collect_list("error"))).alias("errors"))
+    k = F.floor(0.9 * (F.size("errors") - 1)).cast("int") + 1
+    ratio = F.when(C("span") > 0, C("walked") / F.when(C("span") > 0, C("span")))
+    usable = (C("points") >= 2) & F.coalesce(F.abs(ratio - 1) <= 0.05, F.lit(False))
+    return g.select("drawing", "points", F.round(ratio, 3).alias("path_ratio"), F.when(F.size("errors") > 0, F.round(F.element_at("errors", F.greatest(k, F.lit(1))), 1)).alias("holdout_p90_m"), usable.alias("usable"))
+
+
+def place_callouts(found: DataFrame, assessed: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Call-outs with a position or the reason there is none; a side without points borrows its twin's."""
+    from strata.operators.placement import interpolate
+
+    own = assessed.select("drawing", F.lit(True).alias("own"))
+    twin = assessed.select(C("drawing").alias("twin"), F.lit(True).alias("has_twin"))
+    c = found.withColumn("twin", text.opposite_side(C("drawing"))).join(own, "drawing", "left").join(twin, "twin", "left")
+    c = c.withColumn("borrowed", C("own").isNull() & C("has_twin").isNotNull()).withColumn("line_id", F.when(C("own"), C("drawing")).when(C("borrowed"), C("twin")))
+    c = c.join(assessed.select(C("drawing").alias("line_id"), "usable", "holdout_p90_m"), "line_id", "left")
+    why = F.when(C("line_id").isNull(), "no printed points on this drawing").when(~C("usable"), "drawing failed its path check").when(C("chainage_m").isNull(), "no chainage")
+    c = c.withColumn("why", why)
+    spots = c.filter(C("why").isNull()).select("line_id", "chainage_m").distinct()
+    at = interpolate(spots, anchors.withColumnRenamed("drawing", "line_id"))
+    j = c.join(at, ["line_id", "chainage_m"], "left")
+    j = j.withColumn("why", F.coalesce("why", F.when(C("lat").isNull(), "chainage outside the printed points")))
+    return j.withColumn("position_error_m", F.when(~C("borrowed"), C("holdout_p90_m"))).drop("own", "has_twin", "twin", "line_id", "usable", "holdout_p90_m")

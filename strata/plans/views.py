@@ -208,8 +208,7 @@ def callouts(spark: SparkSession, sf: str) -> DataFrame:
 
 VIEW_SQL["anchors"] = """
   SELECT o_custkey AS line_id, o_orderkey AS anchor_id, (o_orderkey % 997) * 2.5 AS chainage_m,
-         12.9 + (o_orderkey % 997) * 0.00002 + (o_orderkey % 7) * 0.0000005 AS lat,
-         77.5 + o_custkey * 0.0001 + (o_orderkey % 997) * 0.00001 + (o_orderkey % 5) * 0.0000004 AS lon,
+         12.9 + sin(o_orderkey % 997) * 0.01 AS lat, 77.5 + cos(o_orderkey % 991) * 0.01 AS lon,
          (o_orderkey % 23) * 0.01 AS accuracy_m, o_orderpriority AS source
   FROM orders"""
 
@@ -218,8 +217,7 @@ def anchors(spark: SparkSession, sf: str) -> DataFrame:
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     return table(spark, sf, "orders").select(
         c.alias("line_id"), o.alias("anchor_id"), ((o % 997) * 2.5).alias("chainage_m"),
-        (F.lit(12.9) + (o % 997) * 0.00002 + (o % 7) * 0.0000005).alias("lat"),
-        (F.lit(77.5) + c * 0.0001 + (o % 997) * 0.00001 + (o % 5) * 0.0000004).alias("lon"),
+        (F.lit(12.9) + F.sin(o % 997) * 0.01).alias("lat"), (F.lit(77.5) + F.cos(o % 991) * 0.01).alias("lon"),
         ((o % 23) * 0.01).alias("accuracy_m"), F.col("o_orderpriority").alias("source"),
     )
 
@@ -396,3 +394,70 @@ def track_points(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(
         c.alias("line_id"), (c % 60).alias("survey_id"), o.alias("point_id"), d.alias("distance_m"),
         (100 + d * (F.lit(0.6) + (c % 9) * 0.1) * sign + (o % 7) * F.lit(0.02)).alias("east"), (200 + d * 0.3 + (o % 5) * F.lit(0.03)).alias("north"))
+
+
+_NAMES = ("ELECTRIC", "WATER", "SEWER", "DRAIN", "UC", "OFC", "METALLIC", "GAS", "STORM")
+VIEW_SQL["draw_rows"] = """
+  SELECT l_orderkey AS drawing, 1 AS page, (l_partkey * 100000 + l_suppkey * 10 + l_linenumber) * 8 AS id, l_partkey, l_suppkey, l_linenumber, l_tax,
+         CAST((l_partkey % 4) * 30 AS DOUBLE) AS x, CAST((l_suppkey % 6) * 11 AS DOUBLE) AS y, CAST(CAST(l_quantity AS INTEGER) // 10 AS VARCHAR) || '.' || CAST(CAST(l_quantity AS INTEGER) % 10 AS VARCHAR) AS num FROM lineitem"""
+VIEW_SQL["draw_words"] = """
+  SELECT drawing, page, id AS word_id, list_extract(['ELECTRIC', 'WATER', 'SEWER', 'DRAIN', 'UC', 'OFC', 'METALLIC', 'GAS', 'STORM'], CAST(l_partkey % 9 + 1 AS BIGINT)) AS text, x AS x0, x + 20 AS x1, y AS top, y + 4 AS bottom FROM draw_rows
+  UNION ALL SELECT drawing, page, id + 1, CASE WHEN l_linenumber = 3 THEN 'Depth=' || num || 'm' ELSE 'Depth' END, x + l_linenumber % 3, x + 14, y + 5, y + 8 FROM draw_rows
+  UNION ALL SELECT drawing, page, id + 2, num || 'm', x + 17, x + 25, y + 5.5, y + 8.5 FROM draw_rows WHERE l_tax < 0.06 AND l_linenumber <> 3
+  UNION ALL SELECT drawing, page, id + 3, 'WATER', x + 23, x + 40, y + 0.5, y + 4.5 FROM draw_rows WHERE l_partkey % 9 = 8
+  UNION ALL SELECT drawing, page, id + 4, 'CH-' || CAST(20 + (l_partkey % 4) * 10 AS VARCHAR), x, x + 8, y + 2, y + 4 FROM draw_rows WHERE l_linenumber > 4"""
+
+
+def draw_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of one vendor page per order: names, depth labels, numbers, second names and ticks."""
+    part, line = F.col("l_partkey"), F.col("l_linenumber")
+    q = F.col("l_quantity").cast("int")
+    num = F.concat(F.floor(q / 10).cast("string"), F.lit("."), (q % 10).cast("string"))
+    x, y = ((part % 4) * 30).cast("double"), ((F.col("l_suppkey") % 6) * 11).cast("double")
+    ident = (part * 100000 + F.col("l_suppkey") * 10 + line) * 8
+    name = F.element_at(F.array(*[F.lit(n) for n in _NAMES]), (part % 9 + 1).cast("int"))
+
+    def word(k, text, x0, x1, top, bottom, when):
+        return F.when(when, F.struct((ident + k).alias("word_id"), text.alias("text"), x0.alias("x0"), x1.alias("x1"), top.alias("top"), bottom.alias("bottom")))
+
+    always = F.lit(True)
+    words_of_row = F.array_compact(F.array(
+        word(0, name, x, x + 20, y, y + 4, always),
+        word(1, F.when(line == 3, F.concat(F.lit("Depth="), num, F.lit("m"))).otherwise("Depth"), x + line % 3, x + 14, y + 5, y + 8, always),
+        word(2, F.concat(num, F.lit("m")), x + 17, x + 25, y + 5.5, y + 8.5, (F.col("l_tax") < 0.06) & (line != 3)),
+        word(3, F.lit("WATER"), x + 23, x + 40, y + 0.5, y + 4.5, part % 9 == 8),
+        word(4, F.concat(F.lit("CH-"), (20 + (part % 4) * 10).cast("string")), x, x + 8, y + 2, y + 4, line > 4)))
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("drawing"), F.lit(1).alias("page"), F.explode(words_of_row).alias("w"))
+    return rows.select("drawing", "page", "w.*")
+
+
+def draw_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("drawing"), F.lit(1).alias("page"), F.lit(90.0).alias("width"), F.lit(200.0).alias("height")).distinct()
+
+
+def printed_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Printed positions along roads, some of them misprinted; every other road has only its right-hand side."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    along = (o % 97) * 20.0
+    off = F.when(o % 41 == 0, 0.01).otherwise(0.0)
+    return table(spark, sf, "orders").select(
+        F.concat(F.lit("Road "), c.cast("string"), F.when((c % 2 == 0) | (o % 2 == 0), " Rhs").otherwise(" Lhs")).alias("drawing"), along.alias("chainage_m"),
+        (F.lit(12.9) + along / 110574.0 * 0.8 + off).alias("lat"), (F.lit(77.5) + along / 108500.0 * 0.6).alias("lon"))
+
+
+VIEW_SQL["truth"] = """
+  SELECT l_orderkey AS survey_id, l_linenumber * 100000 + l_partkey AS utility_id, (l_partkey % 80) * 0.03 AS distance_m, l_quantity / 25 AS depth_m FROM lineitem WHERE l_returnflag <> 'N'"""
+VIEW_SQL["eval_picks"] = """
+  SELECT l_orderkey AS survey_id, l_partkey * 1000 + l_suppkey AS pick_id, (l_suppkey % 80) * 0.03 AS x_m, (l_quantity + l_linenumber % 3) / 25 AS p_depth_m FROM lineitem"""
+
+
+def truth(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").filter(F.col("l_returnflag") != "N").select(
+        F.col("l_orderkey").alias("survey_id"), (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("utility_id"),
+        ((F.col("l_partkey") % 80) * F.lit(0.03)).alias("distance_m"), (F.col("l_quantity") / 25).alias("depth_m"))
+
+
+def eval_picks(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("survey_id"), (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("pick_id"),
+        ((F.col("l_suppkey") % 80) * F.lit(0.03)).alias("x_m"), ((F.col("l_quantity") + F.col("l_linenumber") % 3) / 25).alias("p_depth_m"))
