@@ -34,7 +34,7 @@ def _count_before(events: DataFrame, keys: list[str], name: str, minutes: int) -
     A tile holds one window's length of events plus a copy of the window before it.
     """
     seconds = minutes * 60
-    at = F.unix_micros(C("signed_at"))
+    at = F.unix_micros(C("signed_at").cast("timestamp"))
     span = seconds * 1_000_000
     tile = F.floor(at / span)
     both = events.withColumn("__at", at).withColumn("__tile", F.explode(F.array(tile, tile + 1)))
