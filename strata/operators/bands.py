@@ -22,13 +22,14 @@ def cell_of(value: Column, width: float) -> Column:
 
 def band_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], axes: Sequence[tuple[str, str, float]],
-    how: str = "inner", extra: Column | None = None,
+    how: str = "inner", extra: Column | None = None, grid_axes: int = 2,
 ) -> DataFrame:
     """Rows of both sides with equal `keys` and every axis within its tolerance (inclusive).
 
     `axes` holds (left column, right column, tolerance). The sides share only the key column names.
+    `grid_axes` axes become cells: two keep dense keys apart, one copies the right side less often.
     """
-    cells = [f"__cell{i}" for i in range(min(2, len(axes)))]
+    cells = [f"__cell{i}" for i in range(min(grid_axes, len(axes)))]
     for cell, (lcol, rcol, tol) in zip(cells, axes):
         left = left.withColumn(cell, cell_of(C(lcol), tol))
         around = cell_of(C(rcol), tol)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from strata import params as P
 from strata.operators.bands import band_join
-from strata.operators.graph import connected_components
+from strata.operators.graph import connected_components, with_node_ids
+from strata.session import cut_lineage
 
 C = F.col
 
@@ -30,19 +31,19 @@ def neighbour_counts(apexes: DataFrame) -> DataFrame:
 
 def clusters(apexes: DataFrame, min_samples: int = 2) -> DataFrame:
     """Density clusters per line: apexes with enough neighbours chain together; borders join the lowest cluster."""
-    spots = places(apexes)
-    key = lambda line, pos, depth: F.struct(C(line).alias("line"), C(pos).alias("pos"), C(depth).alias("depth"))
-    near = near_places(spots)
-    degree = near.groupBy("line_id", "position_m", "depth_m").agg(F.sum("o_n").alias("n"))
-    core = degree.filter(C("n") >= min_samples).select(key("line_id", "position_m", "depth_m").alias("node"))
-    pairs = near.select(key("line_id", "position_m", "depth_m").alias("u"), key("line_id", "o_position", "o_depth").alias("v"))
-    links = pairs.join(core.select(C("node").alias("u")), "u", "left_semi").join(core.select(C("node").alias("v")), "v", "left_semi")
+    spots = with_node_ids(places(apexes))
+    other = spots.select("line_id", C("position_m").alias("o_position"), C("depth_m").alias("o_depth"), C("n_here").alias("o_n"), C("node").alias("v"))
+    reach = [("position_m", "o_position", P.CLUSTER_POSITION_M), ("depth_m", "o_depth", P.CLUSTER_DEPTH_M)]
+    near = cut_lineage(band_join(spots.withColumnRenamed("node", "u"), other, ["line_id"], reach, grid_axes=1).select("u", "v", "o_n"))
+    core = near.groupBy("u").agg(F.sum("o_n").alias("n")).filter(C("n") >= min_samples).select(C("u").alias("node"))
+    links = near.filter(C("u") < C("v")).join(core.select(C("node").alias("u")), "u", "left_semi").join(core.select(C("node").alias("v")), "v", "left_semi")
     labels = connected_components(core, links)
-    border = pairs.join(core.select(C("node").alias("u")), "u", "left_anti").join(labels.withColumnRenamed("node", "v"), "v")
+    border = near.join(core.select(C("node").alias("u")), "u", "left_anti").join(labels.withColumnRenamed("node", "v"), "v")
     border = border.groupBy(C("u").alias("node")).agg(F.min("component").alias("component"))
-    named = labels.unionByName(border).select(
-        C("node.line").alias("line_id"), C("node.pos").alias("position_m"), C("node.depth").alias("depth_m"),
-        F.struct(C("component.pos").alias("pos"), C("component.depth").alias("depth")).alias("cluster"))
+    members = spots.join(labels.unionByName(border), "node")
+    # A cluster is named by its first place, which does not depend on how places were numbered.
+    names = members.groupBy("component").agg(F.min(F.struct("position_m", "depth_m")).alias("cluster"))
+    named = members.join(names, "component").select("line_id", "position_m", "depth_m", "cluster")
     return apexes.join(named, ["line_id", "position_m", "depth_m"])
 
 

@@ -220,21 +220,26 @@ def drop_misprints(anchors: DataFrame) -> DataFrame:
     w = W.partitionBy("drawing").orderBy("chainage_m")
     spot = F.struct("chainage_m", "lat", "lon")
 
-    def agree(a: Column, b: Column) -> Column:
-        step = geodesic_m(a["lat"], a["lon"], b["lat"], b["lon"])
-        dc = F.abs(b["chainage_m"] - a["chainage_m"])
+    def agrees_with(ahead: int) -> Column:
+        """Does this point agree with the one `ahead` places on? Computed once, read by its neighbours too."""
+        other = F.lead(spot, ahead).over(w)
+        step = geodesic_m(C("lat"), C("lon"), other["lat"], other["lon"])
+        dc = F.abs(other["chainage_m"] - C("chainage_m"))
         return (F.abs(step - dc) <= 20.0) | ((step <= 2.0 * dc) & (dc <= 2.0 * step))
 
     kept = cut_lineage(anchors)
     while True:
-        s = kept.select("*", F.lag(spot).over(w).alias("p1"), F.lag(spot, 2).over(w).alias("p2"), F.lead(spot).over(w).alias("n1"), F.lead(spot, 2).over(w).alias("n2"), F.count("*").over(W.partitionBy("drawing")).alias("n"))
+        s = kept.withColumn("one", agrees_with(1)).withColumn("two", agrees_with(2)).withColumn("n", F.count("*").over(W.partitionBy("drawing")))
+        before = lambda c, k=1: F.lag(c, k).over(w)
+        first, last = before("chainage_m").isNull(), F.lead("chainage_m").over(w).isNull()
         bad = (
-            F.when(C("n") <= 2, False).when(C("p1").isNull(), ~agree(spot, C("n1")) & agree(C("n1"), C("n2")))
-            .when(C("n1").isNull(), ~agree(C("p1"), spot) & agree(C("p2"), C("p1"))).otherwise(~agree(C("p1"), spot) & ~agree(spot, C("n1")) & agree(C("p1"), C("n1"))))
-        first = cut_lineage(s.filter(bad).groupBy("drawing").agg(F.min("chainage_m").alias("chainage_m")))
-        if first.isEmpty():
+            F.when(C("n") <= 2, False).when(first, ~C("one") & F.lead("one").over(w))
+            .when(last, ~before("one") & before("one", 2)).otherwise(~before("one") & ~C("one") & before("two")))
+        hits = s.withColumn("bad", bad).filter("bad")
+        drop = cut_lineage(hits.groupBy("drawing").agg(F.min("chainage_m").alias("chainage_m")))
+        if drop.isEmpty():
             return kept
-        kept = cut_lineage(kept.join(first, ["drawing", "chainage_m"], "left_anti"))
+        kept = cut_lineage(kept.join(drop, ["drawing", "chainage_m"], "left_anti"))
 
 
 def assess_drawings(anchors: DataFrame) -> DataFrame:

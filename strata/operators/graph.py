@@ -28,6 +28,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select(C("a").alias("u"), C("m").alias("v"))).distinct()
 
 
+def with_node_ids(rows: DataFrame) -> DataFrame:
+    """Rows with a unique number in `node`, fixed by a reliable checkpoint so that later steps agree on it.
+
+    Numbers keep the rounds on plain integers; names of components are looked up once at the end.
+    """
+    return cut_lineage(rows.withColumn("node", F.monotonically_increasing_id()))
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node; a component is named by its smallest node.
 

@@ -24,7 +24,8 @@ def group_quantiles(rows: DataFrame, keys: Sequence[str], value: str, probs: dic
         return rows.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in probs.items()])
     if not keys:
         return group_quantiles(rows.withColumn("__all", F.lit(1)), ["__all"], value, probs).drop("__all")
-    margin = 2.0 / SKETCH_ACCURACY
+    margin = 4.0 / SKETCH_ACCURACY  # four times the sketch's own error
+    small = C("__n") < 2 * SKETCH_ACCURACY  # so few values that all of them are the bracket
     counted = rows.groupBy(*keys, C(value).alias("__v")).agg(F.count("*").alias("__c"))
     ends = [F.lit(max(0.0, min(1.0, p + s * margin))) for p in probs.values() for s in (-1, 1)]
     brackets = rows.groupBy(*keys).agg(
@@ -37,8 +38,8 @@ def group_quantiles(rows: DataFrame, keys: Sequence[str], value: str, probs: dic
         F.explode(F.array(*[
             F.struct(
                 F.lit(name).alias("name"), (C("__n") - 1).cast("double").alias("n1"), F.lit(float(p)).alias("p"),
-                F.when((C("__n") - 1) * p < 1 + (C("__n") * 2.0 * margin), C("__min")).otherwise(C("__ends")[2 * i]).alias("lo"),
-                F.when((C("__n") - 1) * (1 - p) < 1 + (C("__n") * 2.0 * margin), C("__max")).otherwise(C("__ends")[2 * i + 1]).alias("hi"),
+                F.when(small | F.lit(p <= margin), C("__min")).otherwise(C("__ends")[2 * i]).alias("lo"),
+                F.when(small | F.lit(p >= 1 - margin), C("__max")).otherwise(C("__ends")[2 * i + 1]).alias("hi"),
             ) for i, (name, p) in enumerate(probs.items())
         ])).alias("__w"),
     ).select(*keys, "__w.*")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.session import spread
+
 TRACES_PER_LINE = 40  # per channel
 CHANNELS = ("RAD", "RA1", "RA2")
 CLASS_OF_EVENT = {
@@ -344,7 +346,7 @@ VIEW_SQL["words"] = """
 def words(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("word_id")
     return (
-        table(spark, sf, "documents")
+        spread(table(spark, sf, "documents").select("doc_id", "text"))
         .select(F.col("doc_id").alias("drawing"), F.posexplode(F.split("text", r"\s+")).alias("word_id", "text"))
         .select(
             "drawing", "word_id", "text", ((i % 12) * 8.0).alias("x0"), ((i % 12) * 8.0 + 6).alias("x1"),
@@ -427,7 +429,8 @@ def draw_words(spark: SparkSession, sf: str) -> DataFrame:
         word(2, F.concat(num, F.lit("m")), x + 17, x + 25, y + 5.5, y + 8.5, (F.col("l_tax") < 0.06) & (line != 3)),
         word(3, F.lit("WATER"), x + 23, x + 40, y + 0.5, y + 4.5, part % 9 == 8),
         word(4, F.concat(F.lit("CH-"), (20 + (part % 4) * 10).cast("string")), x, x + 8, y + 2, y + 4, line > 4)))
-    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("drawing"), F.lit(1).alias("page"), F.explode(words_of_row).alias("w"))
+    used = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_tax")
+    rows = spread(used).select(F.col("l_orderkey").alias("drawing"), F.lit(1).alias("page"), F.explode(words_of_row).alias("w"))
     return rows.select("drawing", "page", "w.*")
 
 

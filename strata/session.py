@@ -15,6 +15,7 @@ def local_session(cpus: int | str = "*", app: str = "strata", shuffle_partitions
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
@@ -41,3 +42,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: the result survives lost executors and later plans start from it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Before work that is heavy per row: give every core a share when the input has too few splits.
+
+    A table of many files already has enough splits and passes through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

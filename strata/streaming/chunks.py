@@ -123,12 +123,10 @@ class ReportOnce(StatefulProcessor):
             new, reported, waiting = settle_window(boxes, int(group[0]["window_end"]), complete, reported, waiting)
             out += [{"chunk_end": end, **{c: r[c] for c in ("class_name", "confidence", *BOX_FIELDS)}} for r in new]
             last, finished = end, complete
-        if finished:
-            self.reported.clear(), self.waiting.clear(), self.early.clear()
-        else:
-            self.reported.put([tuple(int(r[f]) for f in BOX_FIELDS) for r in reported])
-            self.waiting.put([tuple(int(w[f]) for f in (*BOX_FIELDS, "streak")) for w in waiting])
-            self.early.put([tuple(r[c] for c in columns) for g in windows.values() for r in g])
+        keep = lambda state, rows: state.put(rows) if rows else state.clear()  # noqa: E731 - an empty list cannot be stored
+        keep(self.reported, [] if finished else [tuple(int(r[f]) for f in BOX_FIELDS) for r in reported])
+        keep(self.waiting, [] if finished else [tuple(int(w[f]) for f in (*BOX_FIELDS, "streak")) for w in waiting])
+        keep(self.early, [] if finished else [tuple(r[c] for c in columns) for g in windows.values() for r in g])
         self.position.update((last, finished))
         if out:
             pdf = pd.DataFrame(out)
