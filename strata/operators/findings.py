@@ -130,13 +130,17 @@ def match_boxes(left: DataFrame, right: DataFrame, how: str, cell: int = 32) ->
     return left.join(right, meets & same_target("", "r_") & (begins == C("cell"))).drop("cell", "r_cell", "r_line_id")
 
 
-def box_overlap_flags(points: DataFrame, others: DataFrame) -> DataFrame:
-    """Points of a frame that strictly overlap another kind of box of the same frame."""
-    o = others.select(C("frame_id").alias("o_frame"), *[C(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2")])
+def box_overlap_flags(points: DataFrame, others: DataFrame, cell: float = 64.0) -> DataFrame:
+    """Points of a frame that strictly overlap another kind of box of the same frame.
+
+    Boxes meet per stretch of the frame's width, so a crowded frame is many small joins.
+    """
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
+    o = others.select(C("frame_id").alias("o_frame"), *[C(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2")], cells(C("x1"), C("x2")).alias("o_cell"))
     meets = (
-        (C("frame_id") == C("o_frame")) & (C("x1") < C("o_x2")) & (C("o_x1") < C("x2")) & (C("y1") < C("o_y2")) & (C("o_y1") < C("y2"))
+        (C("frame_id") == C("o_frame")) & (C("cell") == C("o_cell")) & (C("x1") < C("o_x2")) & (C("o_x1") < C("x2")) & (C("y1") < C("o_y2")) & (C("o_y1") < C("y2"))
     )
-    return points.join(o, meets, "left_semi")
+    return points.withColumn("cell", cells(C("x1"), C("x2"))).join(o, meets, "left_semi").drop("cell").dropDuplicates(["frame_id", "detection_id"])
 
 
 def replace_detector_rows(stored: DataFrame, fresh: DataFrame, runs: DataFrame, detector: str, version: str) -> DataFrame:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strata import params as P
-from strata.operators.bands import within
+from strata.operators.bands import band_aggregate, with_next
 from strata.operators.findings import box_overlap_flags
 
 C = F.col
+STRETCH_PX = 64.0  # a frame's points are ordered per stretch of its width
 
 
 def _centres(points: DataFrame) -> DataFrame:
@@ -19,8 +19,9 @@ def _centres(points: DataFrame) -> DataFrame:
 
 def regular_rows(points: DataFrame, height: float) -> DataFrame:
     """Per frame: three or more points, evenly spaced and at one depth."""
-    gap = C("__x") - F.lag("__x").over(W.partitionBy("frame_id").orderBy("__x", "detection_id"))
-    g = _centres(points).withColumn("__gap", gap).groupBy("frame_id").agg(
+    gap = C("next___x") - C("__x")
+    ordered = with_next(_centres(points), ["frame_id"], ["__x", "detection_id"], ["__x"], STRETCH_PX)
+    g = ordered.withColumn("__gap", gap).groupBy("frame_id").agg(
         F.count("*").alias("n"), F.avg("__gap").alias("mean"), F.stddev_pop("__gap").alias("spread"),
         ((F.max("__y") - F.min("__y")) / height).alias("depth_range"))
     even = (C("mean") > 0) & (C("spread") / F.when(C("mean") > 0, C("mean")) < P.ROW_SPACING_CV) & (C("depth_range") < P.ROW_DEPTH_FRACTION)
@@ -28,9 +29,11 @@ def regular_rows(points: DataFrame, height: float) -> DataFrame:
 
 
 def crowded_points(points: DataFrame, width: float) -> DataFrame:
-    reach = P.CROWD_FRACTION * width
-    near = within("count(*)", ["frame_id"], "__x", reach, reach) - 1
-    return _centres(points).withColumn("crowded", near >= P.ROW_MIN_POINTS - 1).drop("__x", "__y")
+    """Points with two or more others within 15% of the image width, counted per distinct place."""
+    centred = _centres(points)
+    near = band_aggregate(centred, ["frame_id"], "__x", P.CROWD_FRACTION * width, {"near": F.count("*")}, {"near": "sum"})
+    flag = centred.join(near, ["frame_id", "__x"]).withColumn("crowded", C("near") - 1 >= P.ROW_MIN_POINTS - 1)
+    return flag.drop("__x", "__y", "near")
 
 
 def refine_classes(detections: DataFrame, width: float, height: float) -> DataFrame:

@@ -438,12 +438,8 @@ def _(spark, sf):
 @query("D19_credible_detections", None)
 def _(spark, sf):
     t = V.traces(spark, sf)
-    n = largest_line(t)
-    norm = R.normalized_envelope(t, n)
-    boxes = D.energy_candidates(t, n).withColumn("box_id", F.xxhash64("line_id", "channel", "x", "y", "w", "h"))
-    fits = T.physical_fits(D.ridge_points(norm, boxes), [*LINE, "box_id"], V.line_table(spark, sf).select(*LINE, "dt", "spacing", "n_samples"))
-    good = fits.filter(C("reason").isNull()).select(*LINE, "box_id", F.least(F.greatest("r2", F.lit(0.0)), F.lit(1.0)).alias("confidence"))
-    return boxes.join(good, [*LINE, "box_id"]).select(*LINE, "x", "y", "w", "h", r("confidence", "confidence"))
+    d = T.credible_detections(t, V.line_table(spark, sf).select(*LINE, "dt", "spacing", "n_samples"), largest_line(t))
+    return d.select(*LINE, "x", "y", "w", "h", "reason", r("confidence", "confidence"))
 
 
 _FLAG = f"""WITH bg AS (SELECT line_id, channel, trace, sample, amp - avg(amp) OVER (PARTITION BY line_id, channel, sample) AS x FROM samples),

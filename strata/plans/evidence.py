@@ -15,8 +15,8 @@ C = F.col
 
 
 @query("G12_evidence_assembly", f"WITH {_RISK}, nb AS (SELECT frame_id, count(*) AS n FROM findings GROUP BY frame_id)" + """
-  SELECT finding_id AS detection_id, f.class_name, round(CASE WHEN frame_id % 7 = 0 THEN least(greatest((y1 + y2) / 5 / 256.0, 0.0), 1.0) * 2.0 ELSE (y1 + y2) / 5 * 0.1 * (0.2998 / sqrt(9.0)) / 2 END, 6) AS depth_m,
-    CASE WHEN frame_id % 7 <> 0 AND frame_id % 3 = 0 THEN 'calibrated' ELSE 'estimated' END AS depth_confidence, CASE WHEN frame_id % 5 <> 0 THEN round(frame_id % 9 + (x1 + x2) / 4 * 0.025, 6) END AS position_m,
+  SELECT finding_id AS detection_id, f.class_name, round(CASE WHEN frame_id % 7 = 0 THEN least(greatest((y1 + y2) / 5 / 256.0, 0.0), 1.0) * 2.0 ELSE (y1 + y2) / 5 * 0.1 * (0.2998 / sqrt(9.0)) / 2 END, 8) AS depth_m,
+    CASE WHEN frame_id % 7 <> 0 AND frame_id % 3 = 0 THEN 'calibrated' ELSE 'estimated' END AS depth_confidence, CASE WHEN frame_id % 5 <> 0 THEN round(frame_id % 9 + (x1 + x2) / 4 * 0.025, 8) END AS position_m,
     CASE WHEN finding_id % 4 = 0 THEN 'unavailable' WHEN frame_id % 2 = 0 THEN 'calibrated' ELSE 'estimated' END AS amplitude_confidence, x2 - x1 AS hyperbola_width_px, n - 1 AS n_neighbours,
     1 + finding_id % 3 AS corroborating_channels, r.level AS risk_level, CASE WHEN finding_id % 11 = 0 THEN 'QL-A' ELSE 'ungraded' END AS grade
   FROM findings f JOIN risk r USING (frame_id) JOIN nb USING (frame_id)""")
@@ -31,7 +31,7 @@ def _(spark, sf):
     e = E.assemble(d, frames, d.filter(k % 4 != 0).select(k, C("confidence").alias("amplitude")), d.select(k, (1 + k % 3).alias("corroborating_channels")))
     e = E.graded(e, k % 11 == 0, F.lit(None).cast("boolean"))
     n = F.aggregate(F.map_values("neighbours"), F.lit(0).cast("long"), lambda a, b: a + b)
-    return e.select("detection_id", "class_name", F.round("depth_m", 6).alias("depth_m"), "depth_confidence", F.round("position_m", 6).alias("position_m"), "amplitude_confidence",
+    return e.select("detection_id", "class_name", F.round("depth_m", 8).alias("depth_m"), "depth_confidence", F.round("position_m", 8).alias("position_m"), "amplitude_confidence",
                     "hyperbola_width_px", n.alias("n_neighbours"), "corroborating_channels", "risk_level", "grade")
 
 

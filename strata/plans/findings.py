@@ -415,9 +415,9 @@ def _(spark, sf):
 
 
 @query("C22_run_once_guard", """
-  SELECT line_id, channel, n_traces FROM line_table l WHERE NOT EXISTS (SELECT 1 FROM channel_picks p WHERE p.line_id % 7 = l.line_id AND p.channel = l.channel AND p.sample > 29 AND p.trace > 38)""")
+  SELECT line_id, channel, n_traces FROM line_table l WHERE NOT EXISTS (SELECT 1 FROM channel_picks p WHERE p.line_id % 7 = l.line_id AND p.channel = l.channel AND p.sample > 29 AND p.trace > 38 AND p.strength > 95)""")
 def _(spark, sf):
-    runs = V.channel_picks(spark, sf).filter((C("sample") > 29) & (C("trace") > 38)).select((C("line_id") % 7).alias("line_id"), "channel").distinct()
+    runs = V.channel_picks(spark, sf).filter((C("sample") > 29) & (C("trace") > 38) & (C("strength") > 95)).select((C("line_id") % 7).alias("line_id"), "channel").distinct()
     runs = runs.withColumn("detector", F.lit("migration")).withColumn("detector_version", F.lit("v1"))
     return O.not_yet_run(V.line_table(spark, sf), runs, "migration", "v1").select("line_id", "channel", "n_traces")
 
