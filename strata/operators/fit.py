@@ -124,8 +124,9 @@ def credible_detections(traces: DataFrame, lines: DataFrame, line_rows: int | No
     from strata.session import cut_lineage
 
     keys = [*LINE, "box_id"]
-    boxes = cut_lineage(energy_candidates(traces, line_rows).withColumn("box_id", F.xxhash64(*LINE, "x", "y", "w", "h")))
-    fits = physical_fits(ridge_points(R.normalized_envelope(traces, line_rows), boxes), keys, lines).select(*keys, "reason", "r2", F.lit(True).alias("fitted"))
+    normalized = cut_lineage(R.normalized_envelope(traces, line_rows))  # the mask and the ridge points both read it
+    boxes = cut_lineage(energy_candidates(traces, line_rows, normalized).withColumn("box_id", F.xxhash64(*LINE, "x", "y", "w", "h")))
+    fits = physical_fits(ridge_points(normalized, boxes), keys, lines).select(*keys, "reason", "r2", F.lit(True).alias("fitted"))
     d = boxes.join(fits, keys, "left")
     reason = F.when(C("fitted").isNull(), "no hyperbola fits").otherwise(C("reason"))
     clipped = F.least(F.greatest("r2", F.lit(0.0)), F.lit(1.0))
