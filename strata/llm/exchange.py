@@ -112,6 +112,19 @@ def untwo_all(blobs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros(0, U64), np.zeros(0, np.int64))
 
 
+def join_parts(parts: list[bytes]) -> bytes:
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+
+def split_parts(blob: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(blob):
+        n = int.from_bytes(blob[at : at + 8], "little")
+        out.append(blob[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
 def pairs(order: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """One number for a document and a hash in it."""
     return mix(order.astype(U64)) ^ hashes

@@ -57,7 +57,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> U64(29))
+    h = h ^ (h >> U64(29))  # a new array, changed in place from here on
     h *= U64(0xBF58476D1CE4E5B9)
     h ^= h >> U64(32)
     h *= U64(0x94D049BB133111EB)
@@ -69,14 +69,18 @@ def prefix_sums(values: np.ndarray) -> np.ndarray:
     up, _ = powers(len(values))
     sums = np.empty(len(values) + 1, U64)
     sums[0] = 0
-    np.cumsum(values * up[: len(values)], out=sums[1:])
+    np.multiply(values, up[: len(values)], out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
     return sums
 
 
 def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Mixed hash of each span [start, end)."""
     _, down = powers(len(sums))
-    return mix((sums[end] - sums[start]) * down[start])
+    h = sums[end]
+    h -= sums[start]
+    h *= down[start]
+    return mix(h)
 
 
 class Slice:
