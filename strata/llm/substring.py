@@ -19,6 +19,7 @@ from strata.llm import exchange
 from strata.llm.text import PLAIN, covered, owners, slices, word_windows
 
 WINDOW = 13
+SENT_AT_ONCE = 2_000_000  # windows whose hashes are packed together
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("removed", SPANS), ("kept", pa.string())])
 
@@ -45,21 +46,32 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = exchange.keyed(docs.select("doc_id", "text"))
     n = exchange.shares(docs)
 
+    def told(hashes: list[np.ndarray], order: list[np.ndarray]) -> pa.RecordBatch:
+        h, o = np.concatenate(hashes), np.concatenate(order)
+        by, new, loses = _losers(h, o)
+        keys, blobs = exchange.post(o[by[loses]], h[by[loses]], n)
+        tell = [-1 - k for k in keys]
+        h, o = h[by[new]], o[by[new]]
+        for key, (some, their) in exchange.split_by(exchange.bucket_of(h, n), h, o):
+            tell.append(key)
+            blobs.append(exchange.two(some, their))
+        return exchange.packed_batch(tell, blobs)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, order, held = [], [], 0
         for batch in batches:
             ids = np.asarray(batch["order_"])
-            for part in slices(batch["text_"], most=16 << 20):
+            for part in slices(batch["text_"]):
                 starts, ends, bounds = part.words(PLAIN)
-                hashes, at = word_windows(part.word_hashes(starts, ends), bounds, window)
-                order = ids[part.first + owners(bounds)[at]]
-                by, new, loses = _losers(hashes, order)
-                keys, blobs = exchange.post(order[by[loses]], hashes[by[loses]], n)
-                tell = [-1 - k for k in keys]
-                hashes, order = hashes[by[new]], order[by[new]]
-                for key, (h, o) in exchange.split_by(exchange.bucket_of(hashes, n), hashes, order):
-                    tell.append(key)
-                    blobs.append(exchange.two(h, o))
-                yield exchange.packed_batch(tell, blobs)
+                h, at = word_windows(part.word_hashes(starts, ends), bounds, window)
+                hashes.append(h)
+                order.append(ids[part.first + owners(bounds)[at]])
+                held += len(h)
+                if held > SENT_AT_ONCE:
+                    yield told(hashes, order)
+                    hashes, order, held = [], [], 0
+        if held:
+            yield told(hashes, order)
 
     def decide(blobs: pa.Table) -> pa.Table:
         if blobs["key"][0].as_py() < 0:  # an answer that its batch could give
