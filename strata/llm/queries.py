@@ -11,6 +11,7 @@ from strata.llm.decontaminate import contamination_digest
 from strata.llm.hmm import sequence_scores
 from strata.llm.jaccard import jaccard_groups
 from strata.llm.language import language_digest
+from strata.llm.licenses import digest_sql, license_digest
 from strata.llm.mixing import mixing_digest
 from strata.llm.quality import quality_digest
 from strata.llm.substring import removal_digest
@@ -103,6 +104,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op8_license_scan", digest_sql())
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(table(spark, sf_dir, "documents"))
+
+
 @query("op9_quality_classifier")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
