@@ -1,7 +1,7 @@
 """Quality classifier with supervised subword embeddings.
 
-A document is the average of learned vectors, one for each of its words and of its byte n-grams (hashed to BUCKETS); a softmax
-layer on top gives the label. The model is trained by numpy stochastic gradient descent on a sample of labelled rows that
+A document is the average of learned vectors (hashed to BUCKETS): of its words, of the distances to each word's last
+occurrence, and of its byte n-grams, each kind averaged by itself first; a softmax layer on top gives the label. The model is trained by numpy stochastic gradient descent on a sample of labelled rows that
 is bounded by SAMPLE; scoring reads every text. As the softmax of an average of vectors only needs the difference of two
 scores, each bucket's vector is projected to one number before scoring.
 """
@@ -21,17 +21,22 @@ from strata.llm.text import BYTE_VALUES, PLAIN, U64, owners, prefix_sums, slices
 BUCKETS = 1 << 15
 NGRAMS = (2, 3, 4)
 SIZE = 8
-SAMPLE = 6000  # labelled rows at most that the model is fitted on: those with the smallest hashes of their ids
-EPOCHS = 12
-RATE = 0.4
+SAMPLE = 4000  # labelled rows at most that the model is fitted on: those with the smallest hashes of their ids
+EPOCHS = 5
+RATE = 0.1
 FEATURE_BYTES = 1 << 20  # slices for scoring
 
 
 def _features(part) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, bucket) of all words and byte n-grams of a slice, one kind after the other."""
+    """(row, bucket) of a slice, one kind after the other: words, how far back each word stood last, byte n-grams."""
     sums = prefix_sums(BYTE_VALUES[part.data])
     starts, ends, bounds = part.words(PLAIN)
-    yield owners(bounds), (spans(sums, starts, ends) >> U64(49)).astype(np.int32)
+    words, owner = spans(sums, starts, ends), owners(bounds)
+    yield owner, (words >> U64(49)).astype(np.int32)
+    by = np.lexsort((words, owner))
+    again = (words[by[1:]] == words[by[:-1]]) & (owner[by[1:]] == owner[by[:-1]])
+    gap = np.where(again, np.ceil(np.log2(np.maximum(by[1:] - by[:-1], 1))).astype(np.int32) + 1, 0)
+    yield owner[by], np.concatenate((np.zeros(min(len(by), 1), np.int32), gap.astype(np.int32)))
     row = np.repeat(np.arange(part.rows), np.diff(part.offsets))
     at = np.arange(len(part.data))
     for n in NGRAMS:
@@ -40,6 +45,9 @@ def _features(part) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield row[inside], ((spans(sums, inside, inside + n) + U64(n)) >> U64(49)).astype(np.int32)
 
 
+KINDS = 2 + len(NGRAMS)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) -> DataFrame:
     """(text, label) of rows that may be learned from, at most `sample`, by a hash of their id."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
@@ -55,40 +63,42 @@ def held_out():
 
 
 def bags(rows: DataFrame) -> DataFrame:
-    """(doc_id, y, ids, counts): the distinct buckets of each document and how often it has them."""
+    """(doc_id, y, ids, shares): the distinct buckets of each document and their shares of its average."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch["text"]):
-                found = list(_features(part))
-                key = np.concatenate([r.astype(np.int64) * BUCKETS + b for r, b in found])
-                key, counts = np.unique(key, return_counts=True)
+                keys, weights = [], []
+                for row, bucket in _features(part):
+                    keys.append(row.astype(np.int64) * BUCKETS + bucket)
+                    weights.append((1 / KINDS / np.maximum(np.bincount(row, minlength=part.rows), 1))[row])
+                key, index = np.unique(np.concatenate(keys), return_inverse=True)
+                share = np.bincount(index, np.concatenate(weights), len(key)).astype(np.float32)
                 cut = np.searchsorted(key // BUCKETS, np.arange(1, part.rows))
                 ids = [x.astype(np.int32).tobytes() for x in np.split(key % BUCKETS, cut)]
-                n = [x.astype(np.float32).tobytes() for x in np.split(counts, cut)]
+                n = [x.tobytes() for x in np.split(share, cut)]
                 where = slice(part.first, part.first + part.rows)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"][where].cast(pa.int64()), batch["y"][where], pa.array(ids, pa.binary()), pa.array(n, pa.binary())], names=["doc_id", "y", "ids", "counts"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][where].cast(pa.int64()), batch["y"][where], pa.array(ids, pa.binary()), pa.array(n, pa.binary())], names=["doc_id", "y", "ids", "shares"])
 
-    return rows.mapInArrow(run, "doc_id long, y int, ids binary, counts binary")
+    return rows.mapInArrow(run, "doc_id long, y int, ids binary, shares binary")
 
 
 class Model:
-    """A number for each bucket and a bias: log odds of label 1 are the bias plus the mean number of a document."""
+    """A number for each bucket and a bias: log odds of label 1 are the bias plus the average number of a document."""
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights.astype(np.float32), float(bias)
 
     def scores(self, part) -> np.ndarray:
-        total, n = np.zeros(part.rows), np.zeros(part.rows)
+        total = np.zeros(part.rows)
         for row, bucket in _features(part):
-            total += np.bincount(row, self.weights[bucket], part.rows)
-            n += np.bincount(row, minlength=part.rows)
-        return 1 / (1 + np.exp(-np.clip(self.bias + total / np.maximum(n, 1), -40, 40)))
+            total += np.bincount(row, self.weights[bucket], part.rows) / np.maximum(np.bincount(row, minlength=part.rows), 1)
+        return 1 / (1 + np.exp(-np.clip(self.bias + total / KINDS, -40, 40)))
 
 
 def train(table: pa.Table) -> Model:
     """Stochastic gradient descent on bags of the sample; classes weigh alike. Without both labels, a constant."""
-    rows = sorted(zip(table["doc_id"].to_pylist(), table["y"].to_pylist(), table["ids"].to_pylist(), table["counts"].to_pylist()))
+    rows = sorted(zip(table["doc_id"].to_pylist(), table["y"].to_pylist(), table["ids"].to_pylist(), table["shares"].to_pylist()))
     y = np.array([r[1] for r in rows], np.int64)
     share = y.mean() if len(y) else 0.5
     if not 0 < share < 1:
@@ -98,7 +108,6 @@ def train(table: pa.Table) -> Model:
     out, bias = np.zeros((2, SIZE)), np.zeros(2)
     class_weight = 0.5 / np.array([1 - share, share])
     texts = [(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in rows]
-    texts = [(i, c / c.sum() if len(c) else c) for i, c in texts]
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for k in rng.permutation(len(rows)):
@@ -112,8 +121,8 @@ def train(table: pa.Table) -> Model:
             back = p @ out
             out -= np.outer(p, mean)
             bias -= p
-            # A bucket's step is by its share of the average, as in plain gradient descent, times the number of kinds.
-            vectors[ids] -= np.outer(part * len(ids), back)
+            # Buckets move by their share of the average, scaled so that the average itself moves by one step.
+            vectors[ids] -= np.outer(part / max(part @ part, 1e-12), back)
     return Model(vectors @ (out[1] - out[0]), bias[1] - bias[0])
 
 
