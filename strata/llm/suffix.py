@@ -25,6 +25,7 @@ LENGTH = 100
 GRAM = 32
 SHALLOW = 40
 LEFT_SHALLOW = 16
+SENT_AT_ONCE = 500_000  # anchors whose hashes are packed together
 
 
 def anchors(part: Slice, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -227,22 +228,32 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, whole_character
     n = exchange.shares(docs)
     schema = _result_schema(named)
 
+    def told(hashes: list[np.ndarray], order: list[np.ndarray]) -> pa.RecordBatch:
+        h, o = np.concatenate(hashes), np.concatenate(order)
+        seen, where, index, counts = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        twice = counts[index] > 1
+        keys, blobs = exchange.post(o[twice], h[twice], n)  # known here already
+        tell = [-1 - k for k in keys]
+        some = np.where(counts > 1, -1, o[where])  # -1: told already, but it counts for others
+        for key, (x, y) in exchange.split_by(exchange.bucket_of(seen, n), seen, some):
+            tell.append(key)
+            blobs.append(exchange.two(x, y))
+        return exchange.packed_batch(tell, blobs)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, order, held = [], [], 0
         for batch in batches:
             ids = np.asarray(batch["order_"])
             for part in slices(batch["text_"]):
-                _, _, _, hashes, row = anchors(part, length, GRAM)
-                order = ids[part.first + row]
-                _, index, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-                twice = counts[index] > 1
-                keys, blobs = exchange.post(order[twice], hashes[twice], n)  # known here already
-                tell = [-1 - k for k in keys]
-                seen, where = np.unique(hashes, return_index=True)
-                some = np.where(twice[where], -1, order[where])  # -1: told already, but it counts for others
-                for key, (h, o) in exchange.split_by(exchange.bucket_of(seen, n), seen, some):
-                    tell.append(key)
-                    blobs.append(exchange.two(h, o))
-                yield exchange.packed_batch(tell, blobs)
+                _, _, _, h, row = anchors(part, length, GRAM)
+                hashes.append(h)
+                order.append(ids[part.first + row])
+                held += len(h)
+                if held > SENT_AT_ONCE:
+                    yield told(hashes, order)
+                    hashes, order, held = [], [], 0
+        if held:
+            yield told(hashes, order)
 
     def decide(blobs: pa.Table) -> pa.Table:
         if blobs["key"][0].as_py() < 0:

@@ -14,7 +14,7 @@ import zstandard
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2**64
-SLICE_BYTES = 4 << 20  # text handled at once; a longer document makes a longer slice
+SLICE_BYTES = 1 << 20  # text handled at once; a longer document makes a longer slice
 
 
 def _splitmix(n: int, seed: int) -> np.ndarray:
