@@ -45,7 +45,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap:
         F.coalesce(F.sum("weight").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("spent"),
     )
     fill = (C("total") - C("capped")) / (C("weights") - C("spent"))
-    open_level = F.min(F.when(C("level") >= fill, fill)).over(all_)
+    open_level = F.max(F.when(C("level") >= fill, fill)).over(all_)  # the first in order: later ones are smaller
     return ranked.withColumn("open", open_level).select(
         "source", "source_size", "weight", F.when(C("level") <= C("open"), C("source_size") * float(cap)).otherwise(C("open") * C("weight")).alias("target")
     )

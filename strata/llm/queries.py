@@ -122,7 +122,7 @@ w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 +
 r AS (SELECT *, source_size * 3 / weight AS level FROM w),
 f AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER (ORDER BY level, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY level, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS fill FROM r),
-t AS (SELECT *, min(CASE WHEN level >= fill THEN fill END) OVER () AS open FROM f),
+t AS (SELECT *, max(CASE WHEN level >= fill THEN fill END) OVER () AS open FROM f),
 goal AS (SELECT source, source_size, CASE WHEN level <= open THEN source_size * CAST(3 AS DOUBLE) ELSE open * weight END AS target FROM t),
 p AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
       FROM d JOIN goal ON d.source IS NOT DISTINCT FROM goal.source)
