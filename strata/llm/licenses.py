@@ -57,19 +57,26 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(lower, F.lit("")), F.lit(f"({WORD})"), F.lit(1))
 
 
+def _phrase_places(words: Column, ends: Column, phrase: str, label: str) -> Column:
+    """(label, place) wherever the phrase's words stand up to one of the places in `ends`."""
+    parts = phrase.split()
+    back = len(parts) - 1
+
+    def stands(end: Column) -> Column:
+        same = F.lit(True)
+        for k, word in enumerate(parts):
+            same = same & F.coalesce(F.when(end + k >= back, F.get(words, end + k - back) == word), F.lit(False))
+        return same
+
+    return F.transform(F.filter(ends, stands), lambda end: F.struct(F.lit(label).alias("label"), (end - back).cast("long").alias("place")))
+
+
 def _base_places(text: Column) -> Column:
     """(label, place) of base phrases; a text without the word that ends all phrases is not cut into words."""
 
-    def stands(words: Column, i: Column, phrase: str) -> Column:
-        parts = phrase.split()
-        return F.forall(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in enumerate(parts)]), lambda p: F.get(words, i + p["k"]) == p["w"])
-
     def places(words: Column) -> Column:
         ends = F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: F.get(words, i) == "license")
-        found = [
-            F.transform(F.filter(ends, lambda e, p=phrase: stands(words, e - len(p.split()) + 1, p)), lambda e, p=phrase, n=name: F.struct(F.lit(n).alias("label"), (e - len(p.split()) + 1).cast("long").alias("place")))
-            for phrase, name in PHRASES
-        ]
+        found = [_phrase_places(words, ends, phrase, label) for phrase, label in PHRASES]
         return F.concat(*found)
 
     none = F.array().cast("array<struct<label: string, place: long>>")
