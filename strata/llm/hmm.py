@@ -200,7 +200,7 @@ def rare_sums(texts: DataFrame, vocabulary_: DataFrame, counts: Counts, n: int)
         at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
         c = np.where(known[at] == keys, n_[at], 0) if len(known) else np.zeros(len(keys), np.int64)
         some, index = np.unique(rows, return_inverse=True)
-        sums = [np.bincount(index, w, len(some)) for w in ((c > 0).astype(float), counts.base(c), counts.in_class(c, keys))]
+        sums = [np.bincount(index, w, len(some)).astype(float) for w in ((c > 0).astype(float), counts.base(c), counts.in_class(c, keys))]
         return pa.table([pa.array(some, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["row", "known", "base", "inside"])
 
     entries = texts.select("row", "rare").filter(F.octet_length("rare") > 0).mapInArrow(emit, exchange.PACKED)
