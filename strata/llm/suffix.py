@@ -166,8 +166,10 @@ def suffix_array(rows: np.ndarray, lengths: np.ndarray, shallow: int) -> tuple[n
 def _matrix(data: np.ndarray, start: np.ndarray, counts: np.ndarray, width: int, back: bool = False) -> np.ndarray:
     """Bytes start, start + 1, ... (or start - 1, start - 2, ...) of each string, padded with zeros."""
     out = np.zeros((len(start), width), np.uint8)
-    row, col = np.repeat(np.arange(len(start)), counts), ranges(np.zeros(len(start), np.int64), counts)
-    out[row, col] = data[start[row] - 1 - col if back else start[row] + col]
+    for a in range(0, len(start), 4096):
+        some, n = start[a : a + 4096], counts[a : a + 4096]
+        row, col = np.repeat(np.arange(len(some)), n), ranges(np.zeros(len(some), np.int64), n)
+        out[a + row, col] = data[some[row] - 1 - col if back else some[row] + col]
     return out
 
 
@@ -226,6 +228,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, whole_character
     rows = exchange.keyed(named)
     text_only = exchange.keyed(docs.select("doc_id", "text"))
     n = exchange.shares(docs)
+    buckets = 2 * n  # a context is longer than its share of the text
     schema = _result_schema(named)
 
     def told(hashes: list[np.ndarray], order: list[np.ndarray]) -> pa.RecordBatch:
@@ -273,7 +276,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, whole_character
                 order = ids[part.first : part.first + part.rows]
                 tag = _row_tags(part)
                 pick = np.flatnonzero(exchange.among(exchange.pairs(order[found[4]], found[3]), wanted))
-                for key, (chosen,) in exchange.split_by(exchange.bucket_of(found[3][pick], n), pick):
+                for key, (chosen,) in exchange.split_by(exchange.bucket_of(found[3][pick], buckets), pick):
                     keys.append(key)
                     blobs.append(_context_blob(part, chosen, found, order, tag, length))
         return exchange.table_of(keys, blobs)
@@ -296,8 +299,9 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, whole_character
             head = np.flatnonzero(~same)
             least = rank[here[same_order[head]]][np.cumsum(~same) - 1]
             lost = here[same_order[rank[here[same_order]] > least]]
-            told.append(np.stack((lost, first[lost] + high[lost] - offset)))
-        lost, at = np.concatenate(told, axis=1) if told else np.zeros((2, 0), np.int64)
+            told.append(np.stack((lost, first[lost] + high[lost] - offset)).astype(np.int32 if first.max() < 1 << 30 else np.int64))
+        lost, at = np.concatenate(told, axis=1) if told else np.zeros((2, 0), np.int32)
+        del told
         by = np.lexsort((at, lost))
         lost, at = lost[by], at[by]
         new = np.ones(len(lost), bool)
@@ -308,7 +312,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, whole_character
         if len(lost):
             for key, (i, j) in exchange.split_by(exchange.chunk_of(order[lost[a]], n), a, b):
                 keys.append(key)
-                out.append(exchange.join_parts([pack(order[lost[i]]), pack(tag[lost[i]]), pack(at[i]), pack(at[j] + length)]))
+                out.append(exchange.join_parts([pack(order[lost[i]]), pack(tag[lost[i]]), pack(at[i].astype(np.int64)), pack(at[j].astype(np.int64) + length)]))
         return exchange.table_of(keys, out)
 
     def finish(frames: pa.Table, answers: pa.Table) -> pa.Table:
