@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata import params as P
+from strata.functions.text import hash_uniform
 from strata.operators.bands import band_join
 from strata.operators.graph import connected_components, with_node_ids
 from strata.session import cut_lineage
@@ -72,17 +73,22 @@ def summarise(clustered: DataFrame, keys: tuple[str, ...] = ("line_id", "cluster
 def run_lines(clustered: DataFrame, keys: tuple[str, ...] = ("line_id", "cluster")) -> DataFrame:
     """The straight run of each cluster through its robust members: slope and residual.
 
-    Trial lines come from pairs of distinct places a fixed number of steps apart in position order, so
-    the trials grow with the places, not with their square; the best trial keeps the most members.
+    RUN_TRIALS trial lines go through pairs of places that a hash of the cluster and the trial draws from all of
+    them, so the trials grow neither with the places nor with their square; the best keeps the most members.
     """
     from pyspark.sql import Window as W
 
     spots = clustered.groupBy(*keys, "position_m", "depth_m").agg(F.count("*").alias("n"))
     w = W.partitionBy(*keys).orderBy("position_m", "depth_m")
-    steps = (1, 2, 3, 5, 8, 13)
-    later = F.array(*[F.lead(F.struct("position_m", "depth_m"), s).over(w) for s in steps])
-    trials = spots.withColumn("later", later).select(*keys, "position_m", "depth_m", F.explode("later").alias("o"))
-    trials = trials.filter(C("o").isNotNull() & (C("o.position_m") != C("position_m")))
+    numbered = spots.withColumn("place", F.row_number().over(w) - 1)
+    sizes = numbered.groupBy(*keys).agg(F.count("*").alias("places")).filter("places > 1")
+    draws = sizes.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(P.RUN_TRIALS))))
+    first = F.floor(hash_uniform(*[C(k) for k in keys], C("trial"), F.lit("first")) * C("places")).cast("int")
+    step = F.floor(hash_uniform(*[C(k) for k in keys], C("trial"), F.lit("second")) * (C("places") - 1)).cast("int")
+    draws = draws.withColumn("p1", first).withColumn("p2", ((C("p1") + 1 + step) % C("places")).cast("int"))
+    ends = numbered.select(*keys, C("place").alias("p2"), F.struct("position_m", "depth_m").alias("o"))
+    trials = draws.join(numbered.select(*keys, C("place").alias("p1"), "position_m", "depth_m"), [*keys, "p1"]).join(ends, [*keys, "p2"])
+    trials = trials.filter(C("o.position_m") != C("position_m"))
     slope = (C("o.depth_m") - C("depth_m")) / (C("o.position_m") - C("position_m"))
     trials = trials.select(*keys, slope.alias("a"), (C("depth_m") - slope * C("position_m")).alias("b")).distinct()
     miss = F.abs(C("depth_m") - (C("a") * C("position_m") + C("b")))

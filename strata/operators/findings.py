@@ -167,13 +167,23 @@ def apply_events(rows: DataFrame, events: DataFrame, key: str, order: Sequence[s
 
 
 def write_findings(findings: DataFrame, path: str) -> None:
-    """Append findings under ids that depend only on what they mark, so a retried batch adds nothing new."""
-    identified = findings.withColumn("finding_id", finding_key())
-    identified.write.mode("append").partitionBy("survey_id").parquet(path)
+    """Append the findings that the table does not hold yet: ids depend only on what they mark, so a retry adds nothing."""
+    append_new(findings.withColumn("finding_id", finding_key(findings)), path)
 
 
-def finding_key() -> Column:
-    return F.xxhash64("survey_id", "line_id", "frame_id", "location")
+def append_new(identified: DataFrame, path: str) -> None:
+    """Rows whose finding_id is not in the table under `path`, once each, in the surveys' partitions."""
+    spark = identified.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fresh = identified.dropDuplicates(["finding_id"])
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        fresh = fresh.join(spark.read.parquet(path).select("finding_id"), "finding_id", "left_anti")
+    fresh.write.mode("append").partitionBy("survey_id").parquet(path)
+
+
+def finding_key(findings: DataFrame) -> Column:
+    """What a finding marks: its place, and the channel and class where the rows have them."""
+    return F.xxhash64("survey_id", "line_id", "frame_id", "location", *[c for c in ("channel", "class_name") if c in findings.columns])
 
 
 def append_reasoning(versions: DataFrame, reasoning: DataFrame) -> DataFrame:

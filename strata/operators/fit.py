@@ -15,12 +15,26 @@ from strata.operators.lines import LINE
 C = F.col
 
 
+HASH_PRIME = 2147483647  # keeps every product below 2**63, also in SQL
+
+
+def _draw_hash(d: np.ndarray, slot: int) -> np.ndarray:
+    """An integer hash by two rounds of squaring modulo a prime."""
+    u = ((d + 1) * 48271 + slot * 1013904223) % HASH_PRIME
+    v = (u * u + 69621 * u + slot) % HASH_PRIME
+    return (v * v + 40692 * v + d) % HASH_PRIME
+
+
 def draw_triples(n: int, draws: int) -> np.ndarray:
-    """`draws` triples of distinct point numbers from a fixed integer sequence: every retry draws the same."""
+    """`draws` triples of point numbers, each slot from its own integer hash of the draw: every retry draws the same.
+
+    Draws that hit one point twice are left out.
+    """
     d = np.arange(draws, dtype=np.int64)
-    i = (d * 7919 + 13) % n
-    j = (i + 1 + (d * 104729 + 7) % (n - 1)) % n
-    k = (i + 1 + (d * 15485863 + 5) % (n - 1)) % n
+    first, second, third = (_draw_hash(d, slot) for slot in (1, 2, 3))
+    i = first % n
+    j = (i + 1 + second % (n - 1)) % n
+    k = (i + 1 + third % (n - 1)) % n
     return np.stack([i, j, k], axis=1)[(j != k)]
 
 

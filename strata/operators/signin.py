@@ -12,16 +12,21 @@ C = F.col
 NO_IP = "\x00none"  # a missing address equals a missing address
 
 
+def one_name(events: DataFrame) -> DataFrame:
+    """User names differ by more than case, so "Ann" and "ann" share one budget of failures."""
+    return events.withColumn("username", F.lower("username"))
+
+
 def failures_since(events: DataFrame, after: Column, until: Column) -> DataFrame:
     """Failed sign-ins per (name, address) and per name in a time span; unknown addresses group together."""
-    failed = events.filter((C("event") == "login_failed") & (C("signed_at") > after) & (C("signed_at") <= until))
+    failed = one_name(events).filter((C("event") == "login_failed") & (C("signed_at") > after) & (C("signed_at") <= until))
     pairs = failed.groupBy("username", "ip").agg(F.count("*").alias("pair_failures"))
     names = pairs.groupBy("username").agg(F.sum("pair_failures").alias("name_failures"))
     return pairs.join(names, "username").select("username", "ip", "pair_failures", "name_failures")
 
 
 def accounts(events: DataFrame) -> DataFrame:
-    return events.groupBy("username").agg(F.max(F.when(C("event") == "login", C("signed_at"))).alias("last_login"), F.count("*").alias("events"))
+    return one_name(events).groupBy("username").agg(F.max(F.when(C("event") == "login", C("signed_at"))).alias("last_login"), F.count("*").alias("events"))
 
 
 def history(events: DataFrame, n: int) -> DataFrame:
@@ -46,9 +51,11 @@ def _count_before(events: DataFrame, keys: list[str], name: str, minutes: int) -
 
 def lockouts(events: DataFrame, minutes: int = P.LOCKOUT_WINDOW_MINUTES, pair: int = P.LOCKOUT_PAIR, name: int = P.LOCKOUT_NAME, address: int = P.LOCKOUT_IP) -> DataFrame:
     """For every attempt: the failures already in its window and whether a limit was reached."""
-    e = events.withColumn("ip_key", F.coalesce("ip", F.lit(NO_IP)))
+    e = one_name(events).withColumn("ip_key", F.coalesce("ip", F.lit(NO_IP)))
     e = _count_before(e, ["username", "ip_key"], "pair_failures", minutes)
     e = _count_before(e, ["username"], "name_failures", minutes)
-    e = _count_before(e, ["ip_key"], "ip_failures", minutes)
+    # Attempts without an address have no address to count, and would meet under one key.
+    addressed = _count_before(e.filter(C("ip").isNotNull()), ["ip_key"], "ip_failures", minutes)
+    e = addressed.unionByName(e.filter(C("ip").isNull()).withColumn("ip_failures", F.lit(0).cast("long")))
     locked = (C("pair_failures") >= pair) | (C("name_failures") >= name) | (C("ip").isNotNull() & (C("ip_failures") >= address))
     return e.withColumn("locked", locked).drop("ip_key")

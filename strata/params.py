@@ -108,3 +108,4 @@ LOCKOUT_WINDOW_MINUTES, LOCKOUT_PAIR, LOCKOUT_NAME, LOCKOUT_IP = 15, 5, 50, 20
 
 # Held-out evaluation sites
 TEST_SITES = ("Set3", "Set4", "Set5")
+RUN_TRIALS = 200  # trial lines through a cluster

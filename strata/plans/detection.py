@@ -153,7 +153,9 @@ def _fit_sql(ridge: str, draws: int) -> str:
   pts AS (SELECT line_id, channel, box_id, trace - avg(trace) OVER w AS x, CAST(sample AS DOUBLE) AS t, row_number() OVER (PARTITION BY line_id, channel, box_id ORDER BY trace) - 1 AS i, count(*) OVER w AS n, avg(trace) OVER w AS mid
      FROM ridge WINDOW w AS (PARTITION BY line_id, channel, box_id)),
   bx AS (SELECT DISTINCT line_id, channel, box_id, n, mid FROM pts WHERE n >= 3),
-  dr AS (SELECT *, (d * 7919 + 13) % n AS i1, ((d * 7919 + 13) % n + 1 + (d * 104729 + 7) % (n - 1)) % n AS i2, ((d * 7919 + 13) % n + 1 + (d * 15485863 + 5) % (n - 1)) % n AS i3 FROM bx, range({draws}) AS q(d)),
+  hu AS (SELECT d, s, ((d + 1) * 48271 + s * 1013904223) % 2147483647 AS u FROM range({draws}) AS q(d), range(1, 4) AS slot(s)), hv AS (SELECT d, s, (u * u + 69621 * u + s) % 2147483647 AS v FROM hu),
+  hw AS (SELECT d, max((v * v + 40692 * v + d) % 2147483647) FILTER (WHERE s = 1) AS h1, max((v * v + 40692 * v + d) % 2147483647) FILTER (WHERE s = 2) AS h2, max((v * v + 40692 * v + d) % 2147483647) FILTER (WHERE s = 3) AS h3 FROM hv GROUP BY d),
+  dr AS (SELECT bx.*, d, h1 % n AS i1, (h1 % n + 1 + h2 % (n - 1)) % n AS i2, (h1 % n + 1 + h3 % (n - 1)) % n AS i3 FROM bx, hw),
   tri AS (SELECT dr.*, a.x AS x1, a.t * a.t AS y1, b.x AS x2, b.t * b.t AS y2, c.x AS x3, c.t * c.t AS y3 FROM dr
      JOIN pts a ON a.line_id = dr.line_id AND a.channel = dr.channel AND a.box_id = dr.box_id AND a.i = i1 JOIN pts b ON b.line_id = dr.line_id AND b.channel = dr.channel AND b.box_id = dr.box_id AND b.i = i2
      JOIN pts c ON c.line_id = dr.line_id AND c.channel = dr.channel AND c.box_id = dr.box_id AND c.i = i3 WHERE i2 <> i3),

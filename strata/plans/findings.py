@@ -81,7 +81,7 @@ def _(spark, sf):
 
 @query("A08_failures_in_window", """
   SELECT username, ip, count(*) AS pair_failures, max(by_name) AS name_failures FROM (
-    SELECT username, ip, count(*) OVER (PARTITION BY username) AS by_name FROM login_events
+    SELECT lower(username) AS username, ip, count(*) OVER (PARTITION BY lower(username)) AS by_name FROM login_events
     WHERE event = 'login_failed' AND signed_at > TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 3 DAY AND signed_at <= TIMESTAMP '2024-01-20 00:00:00')
   GROUP BY username, ip""")
 def _(spark, sf):
@@ -90,7 +90,7 @@ def _(spark, sf):
 
 
 @query("A09_last_login", """
-  SELECT username, max(signed_at) FILTER (WHERE event = 'login') AS last_login, count(*) AS events FROM login_events GROUP BY username""")
+  SELECT lower(username) AS username, max(signed_at) FILTER (WHERE event = 'login') AS last_login, count(*) AS events FROM login_events GROUP BY lower(username)""")
 def _(spark, sf):
     return signin.accounts(V.login_events(spark, sf))
 

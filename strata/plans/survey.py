@@ -159,7 +159,7 @@ def _(spark, sf):
 
 @query("G05_run_readings", None)
 def _(spark, sf):
-    t, axis, verdicts = _chance(spark, sf, 10)
+    t, axis, verdicts = _chance(spark, sf, P.CHANCE_DRAWS)
     seen = t.select("site", "target_id", F.when(C("target_id") % 3 == 0, "unreadable").otherwise("denser").alias("contrast"))
     return S.run_readings(S.utility_runs(t, ["site"], axis), seen, verdicts, ["site"])
 

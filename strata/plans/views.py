@@ -152,7 +152,7 @@ def shape_detections(spark: SparkSession, sf: str) -> DataFrame:
 
 
 VIEW_SQL["login_events"] = """
-  SELECT event_id, ts AS signed_at, CAST(user_id % 40 AS VARCHAR) AS username, user_id % 40 AS user_id,
+  SELECT event_id, ts AS signed_at, CASE WHEN event_id % 2 = 0 THEN 'User' ELSE 'user' END || CAST(user_id % 40 AS VARCHAR) AS username, user_id % 40 AS user_id,
          CASE WHEN event_type IN ('error', 'click') THEN 'login_failed' ELSE 'login' END AS event,
          CASE WHEN event_id % 9 <> 0 THEN json_extract_string(props, '$.k') END AS ip
   FROM events"""
@@ -161,7 +161,7 @@ VIEW_SQL["login_events"] = """
 def login_events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
         "event_id", F.col("ts").alias("signed_at"),
-        (F.col("user_id") % 40).cast("string").alias("username"),
+        F.concat(F.when(F.col("event_id") % 2 == 0, "User").otherwise("user"), (F.col("user_id") % 40).cast("string")).alias("username"),
         (F.col("user_id") % 40).alias("user_id"),
         F.when(F.col("event_type").isin("error", "click"), "login_failed").otherwise("login").alias("event"),
         F.when(F.col("event_id") % 9 != 0, F.get_json_object("props", "$.k")).alias("ip"),

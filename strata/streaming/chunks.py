@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from strata import params as P
-from strata.operators.findings import finding_key, risk_by_frame
+from strata.operators.findings import append_new, finding_key, risk_by_frame
 
 C = F.col
 LINE_KEY = ["survey_id", "line_id", "channel"]
@@ -185,7 +185,7 @@ def write_reported(reported: DataFrame, risk: DataFrame, path: str) -> None:
     """One micro-batch of findings with their window's risk; ids depend on content, so a retry repeats no row."""
     location = F.struct(*BOX_FIELDS)
     f = reported.join(risk, [*LINE_KEY, "chunk_end"], "left").withColumn("location", location).withColumn("frame_id", C("chunk_end"))
-    f.withColumn("finding_id", finding_key()).drop("frame_id").write.mode("append").partitionBy("survey_id").parquet(path)
+    append_new(f.withColumn("finding_id", finding_key(f)).drop("frame_id"), path)
 
 
 def event_messages(findings: DataFrame, kind: str) -> DataFrame:

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata import params as P
-from strata.operators.signin import NO_IP
+from strata.operators.signin import NO_IP, one_name
 
 C = F.col
 
 
 def failure_windows(events: DataFrame, minutes: int = P.LOCKOUT_WINDOW_MINUTES, step: str = "1 minute") -> DataFrame:
     """Failures per (name, address) in sliding windows; late events count until the watermark passes."""
-    failed = events.filter(C("event") == "login_failed").withColumn("ip_key", F.coalesce("ip", F.lit(NO_IP)))
+    failed = one_name(events).filter(C("event") == "login_failed").withColumn("ip_key", F.coalesce("ip", F.lit(NO_IP)))
     span = f"{minutes} minutes"
     counted = failed.withWatermark("signed_at", span).groupBy(F.window("signed_at", span, step).alias("w"), "username", "ip_key").agg(F.count("*").alias("failures"))
     return counted.select(C("w.start").alias("window_start"), C("w.end").alias("window_end"), "username", "ip_key", "failures", (C("failures") >= P.LOCKOUT_PAIR).alias("locked"))
