@@ -50,11 +50,11 @@ KINDS = 2 + len(NGRAMS)
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) -> DataFrame:
     """(text, label) of rows that may be learned from, at most `sample`, by a hash of their id."""
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    rows = docs.filter(~held_out()).select("doc_id", "text").join(known, "doc_id")
-    order = F.xxhash64("doc_id")
-    chosen = rows.select("doc_id", order.alias("h")).distinct().orderBy("h", "doc_id").limit(sample)
-    return rows.join(chosen.select("doc_id"), "doc_id").select("doc_id", F.col("text").cast("binary").alias("text"), "y")
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
+    ids = docs.filter(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(known, "doc_id")
+    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # `sample` ids at most, so every task can have them
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
 
 
 def held_out():
