@@ -89,15 +89,15 @@ def _(spark, sf):
 
 
 @query("K04_neighbour_suppression", """
-  WITH RECURSIVE p AS (SELECT line_id, pick_id, trace * 0.025 AS pos, sample * 0.2 AS t, strength, row_number() OVER (PARTITION BY line_id ORDER BY strength DESC, pick_id) AS rk FROM channel_picks WHERE channel = 'RAD'),
-  st AS (SELECT DISTINCT line_id, CAST(0 AS BIGINT) AS rk, CAST([] AS STRUCT(pos DOUBLE, t DOUBLE, pick_id BIGINT)[]) AS kept FROM p UNION ALL
-    SELECT st.line_id, p.rk, CASE WHEN len(list_filter(kept, lambda q: abs(q.pos - p.pos) <= 0.3 AND abs(q.t - p.t) <= 1.5)) > 0 THEN kept
-      ELSE list_append(kept, CAST({'pos': p.pos, 't': p.t, 'pick_id': p.pick_id} AS STRUCT(pos DOUBLE, t DOUBLE, pick_id BIGINT))) END FROM st JOIN p ON p.line_id = st.line_id AND p.rk = st.rk + 1),
-  ex AS (SELECT line_id, unnest(kept) AS q FROM (SELECT line_id, arg_max(kept, rk) AS kept FROM st GROUP BY line_id))
-  SELECT line_id, q.pick_id AS pick_id FROM ex""")
+  WITH RECURSIVE p AS (SELECT line_id, channel, pick_id, trace * 0.025 AS pos, sample * 0.2 AS t, strength, row_number() OVER (PARTITION BY line_id, channel ORDER BY strength DESC, pick_id) AS rk FROM channel_picks),
+  st AS (SELECT DISTINCT line_id, channel, CAST(0 AS BIGINT) AS rk, CAST([] AS STRUCT(pos DOUBLE, t DOUBLE, pick_id BIGINT)[]) AS kept FROM p UNION ALL
+    SELECT st.line_id, st.channel, p.rk, CASE WHEN len(list_filter(kept, lambda q: abs(q.pos - p.pos) <= 0.3 AND abs(q.t - p.t) <= 1.5)) > 0 THEN kept
+      ELSE list_append(kept, CAST({'pos': p.pos, 't': p.t, 'pick_id': p.pick_id} AS STRUCT(pos DOUBLE, t DOUBLE, pick_id BIGINT))) END FROM st JOIN p ON p.line_id = st.line_id AND p.channel = st.channel AND p.rk = st.rk + 1),
+  ex AS (SELECT line_id, channel, unnest(kept) AS q FROM (SELECT line_id, channel, arg_max(kept, rk) AS kept FROM st GROUP BY line_id, channel))
+  SELECT line_id, channel, q.pick_id AS pick_id FROM ex""")
 def _(spark, sf):
-    p = V.channel_picks(spark, sf).filter(C("channel") == "RAD").select("line_id", "pick_id", (C("trace") * 0.025).alias("pos"), (C("sample") * 0.2).alias("t"), "strength")
-    return D.suppress_neighbours(p, ["line_id"], [("pos", 0.3), ("t", 1.5)], "strength", "pick_id").select("line_id", "pick_id")
+    p = V.channel_picks(spark, sf).select("line_id", "channel", "pick_id", (C("trace") * 0.025).alias("pos"), (C("sample") * 0.2).alias("t"), "strength")
+    return D.suppress_neighbours(p, ["line_id", "channel"], [("pos", 0.3), ("t", 1.5)], "strength", "pick_id").select("line_id", "channel", "pick_id")
 
 
 def detector_fusion(spark, sf):
@@ -382,7 +382,7 @@ def _(spark, sf):
 @query("D14_focusing_sweep", None)
 def _(spark, sf):
     t = R.remove_background(V.traces(spark, sf), "mean")
-    return T.focusing_sweep(t, arch_apexes(spark, sf), half_width=20, half_height=16, aperture=20).select(*LINE, "apex_id", r("velocity", "velocity"), r("peak_ratio", "peak_ratio"), "well_constrained")
+    return T.focusing_sweep(t, arch_apexes(spark, sf)).select(*LINE, "apex_id", r("velocity", "velocity"), r("peak_ratio", "peak_ratio"), "well_constrained")
 
 
 @query("D16_hyperbola_response", """

@@ -156,14 +156,14 @@ def _(spark, sf):
 
 @query("P11_common_time_grid", f"""
   WITH {TIME_ZERO}, g AS (SELECT t.line_id, t.trace, t.channel, CAST(i AS INTEGER) AS row, round((z.zero_ns - 2.0 + i * 0.2) / 0.2, 9) AS p FROM
-     (SELECT DISTINCT line_id, channel, trace FROM samples) t JOIN zeros z USING (line_id, channel), range(64) AS r(i)),
+     (SELECT DISTINCT line_id, channel, trace FROM samples) t JOIN zeros z USING (line_id, channel), range(256) AS r(i)),
   v AS (SELECT g.line_id, g.trace, g.channel, g.row, CASE WHEN p >= 0 AND p <= 63 THEN a.amp + (b.amp - a.amp) * (p - floor(p)) ELSE 0.0 END AS v FROM g
      LEFT JOIN samples a ON a.line_id = g.line_id AND a.channel = g.channel AND a.trace = g.trace AND a.sample = floor(p)
      LEFT JOIN samples b ON b.line_id = g.line_id AND b.channel = g.channel AND b.trace = g.trace AND b.sample = least(floor(p) + 1, 63))
   SELECT line_id, trace, row, round(max(v) FILTER (WHERE channel = 'RAD'), 6) + 0.0 AS rad, round(max(v) FILTER (WHERE channel = 'RA1'), 6) + 0.0 AS ra1, round(max(v) FILTER (WHERE channel = 'RA2'), 6) + 0.0 AS ra2 FROM v GROUP BY ALL""")
 def _(spark, sf):
     t = V.traces(spark, sf)
-    s = R.stack_channels(t, R.time_zero(t, largest_line(t)), V.CHANNELS, rows=64)
+    s = R.stack_channels(t, R.time_zero(t, largest_line(t)), V.CHANNELS, rows=256)
     z = s.select("line_id", "trace", F.posexplode(F.arrays_zip(*[F.coalesce(c, F.array().cast("array<double>")).alias(c) for c in ("rad", "ra1", "ra2")])).alias("row", "v"))
     return z.select("line_id", "trace", "row", *[F.round(f"v.{c}", 6).alias(c) for c in ("rad", "ra1", "ra2")])
 

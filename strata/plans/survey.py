@@ -173,12 +173,12 @@ def _(spark, sf):
 
 
 @query("J10_traced_across_lines", """
-  WITH p AS (SELECT line_id % 400 AS survey_id, line_id, apex_id, position_m AS along, depth_m FROM apexes WHERE channel = 'RAD'), s AS (SELECT DISTINCT survey_id, line_id, along, depth_m FROM p)
-  SELECT p.survey_id, p.line_id, p.apex_id, t.lines FROM p JOIN (SELECT a.survey_id, a.line_id, a.along, a.depth_m, count(DISTINCT b.line_id) AS lines FROM s a JOIN s b ON a.survey_id = b.survey_id AND abs(a.along - b.along) <= 0.3 AND abs(a.depth_m - b.depth_m) <= 0.15
-    GROUP BY ALL HAVING count(DISTINCT b.line_id) >= 3) t USING (survey_id, line_id, along, depth_m)""")
+  WITH p AS (SELECT line_id % 400 AS survey_id, channel, line_id, apex_id, position_m AS along, depth_m FROM apexes), s AS (SELECT DISTINCT survey_id, channel, line_id, along, depth_m FROM p)
+  SELECT p.survey_id, p.channel, p.line_id, p.apex_id, t.lines FROM p JOIN (SELECT a.survey_id, a.channel, a.line_id, a.along, a.depth_m, count(DISTINCT b.line_id) AS lines FROM s a JOIN s b ON a.survey_id = b.survey_id AND a.channel = b.channel AND abs(a.along - b.along) <= 0.3 AND abs(a.depth_m - b.depth_m) <= 0.15
+    GROUP BY ALL HAVING count(DISTINCT b.line_id) >= 3) t USING (survey_id, channel, line_id, along, depth_m)""")
 def _(spark, sf):
-    p = V.apexes(spark, sf).filter(C("channel") == "RAD").select((C("line_id") % 400).alias("survey_id"), "line_id", "apex_id", C("position_m").alias("along"), "depth_m")
-    return S.traced_across_lines(p, ["survey_id"], 3).select("survey_id", "line_id", "apex_id", "lines")
+    p = V.apexes(spark, sf).select((C("line_id") % 400).alias("survey_id"), "channel", "line_id", "apex_id", C("position_m").alias("along"), "depth_m")
+    return S.traced_across_lines(p, ["survey_id", "channel"], 3).select("survey_id", "channel", "line_id", "apex_id", "lines")
 
 
 @query("G01_site_targets", f"""WITH {_GPS}, fx AS (SELECT line_id, trace AS t0, avg(lat) AS lat0, avg(lon) AS lon0 FROM gps_fixes GROUP BY ALL), sp AS (SELECT *, lead(t0) OVER w AS t1, lead(lat0) OVER w AS lat1 FROM fx WINDOW w AS (PARTITION BY line_id ORDER BY t0)),
