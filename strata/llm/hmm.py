@@ -25,7 +25,7 @@ from strata.llm.text import PLAIN, U64, pack, slices, unpack
 
 C = F.col
 STATES = 8
-ROUNDS = 3
+ROUNDS = 4
 HEAD = 8192  # words that are classes of their own
 KNOWN = 1 << 16  # most frequent words whose counts go to every task; all others are met by a shuffle
 ENDING_BITS = 9

@@ -31,6 +31,7 @@ WORDS = 5
 SIMILAR = Fraction(3, 4)
 FRAGMENTS = 8
 STAR_ROUNDS = 2
+HOPS = 4
 PRINT_BITS = 40  # of a hash, for frequencies: a clash only makes an n-gram look less rare
 SETS = "order_ long, n long, high long, low long, suspect boolean, lonely double, prefix array<struct<gram: long, place: int>>, fragments array<binary>"
 
@@ -233,10 +234,15 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, similar: Fraction = SIMI
 
 
 def _near_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component): the least node within two links. Equal labels mean connected, which is all that skips a pair."""
+    """(node, component): the least node within HOPS links. Equal labels mean connected, which is all that skips a pair.
+
+    Members of two centres that a third one joins are four links apart.
+    """
     both = links.select(C("u").alias("node"), C("v").alias("other")).union(links.select(C("v").alias("node"), C("u").alias("other"))).union(nodes.select("node", C("node").alias("other")))
-    one = both.groupBy("node").agg(F.min("other").alias("component"))
-    return both.join(one.select(C("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("component"))
+    label = both.groupBy("node").agg(F.min("other").alias("component"))
+    for _ in range(HOPS - 1):
+        label = both.join(label.select(C("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("component"))
+    return label
 
 
 def _open(lists: DataFrame, label: DataFrame) -> DataFrame:
