@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,29 +56,38 @@ def warmed_up(complete: Column, offset: Column, n: Column) -> Column:
 
 # ---------------------------------------------------------------- settle, persist, report once
 
-def same_box(a: dict, b: dict) -> bool:
-    overlap = min(a["trace_end"], b["trace_end"]) - max(a["trace_start"], b["trace_start"])
-    depth = min(a["sample_end"], b["sample_end"]) - max(a["sample_start"], b["sample_start"])
-    return depth > 0 and overlap >= 0.5 * min(a["trace_end"] - a["trace_start"], b["trace_end"] - b["trace_start"])
+BOX_FIELDS = ("trace_start", "trace_end", "sample_start", "sample_end")
 
 
-BOX_FIELDS = ("trace_start", "trace_end", "sample_start", "sample_end")
+def _one_target(a: list[dict], b: list[dict]) -> np.ndarray:
+    """Matrix of which boxes of `a` mark the same target as which of `b`: common depth, and half the narrower width."""
+    x, y = (np.array([[r[f] for f in BOX_FIELDS] for r in rows], float).reshape(-1, 4) for rows in (a, b))
+    low, high = np.maximum(x[:, None], y[None]), np.minimum(x[:, None], y[None])
+    along, deep = high[..., 1] - low[..., 0], high[..., 3] - low[..., 2]
+    narrow = np.minimum((x[:, 1] - x[:, 0])[:, None], (y[:, 1] - y[:, 0])[None])
+    return (deep > 0) & (along >= 0.5 * narrow)
 
 
 def settle_window(boxes: list[dict], end: int, complete: bool, reported: list[dict], waiting: list[dict]) -> tuple[list[dict], list[dict], list[dict]]:
     """One window of one line: (boxes to report, all reported so far, boxes still waiting with their streak)."""
+    settled = [r for r in boxes if complete or r["trace_end"] <= end - P.SETTLE_TRACES]
+    unseen = [r for r, known in zip(settled, _one_target(settled, reported).any(axis=1)) if not known]
+    before = np.array([w["streak"] for w in waiting], int)
+    streaks = 1 + np.where(_one_target(unseen, waiting), before, 0).max(axis=1, initial=0)
+    ripe = streaks >= (1 if complete else P.PERSIST_WINDOWS)
+    twins = np.tril(_one_target(unseen, unseen), -1)  # of each box, those before it in the window
+    spoken = np.zeros(len(unseen), bool)
     new, still = [], []
-    for box in boxes:
-        if not complete and box["trace_end"] > end - P.SETTLE_TRACES:
-            continue
-        if any(same_box(box, seen) for seen in reported):
-            continue
-        streak = 1 + max((w["streak"] for w in waiting if same_box(box, w)), default=0)
-        if streak < P.PERSIST_WINDOWS and not complete:
-            still.append({**{f: box[f] for f in BOX_FIELDS}, "streak": streak})
-            continue
-        reported = [*reported, {f: box[f] for f in BOX_FIELDS}]
-        new.append(box)
+    for i, row in enumerate(unseen):
+        if (twins[i] & spoken).any():
+            continue  # a box before it has just reported this target
+        place = {f: row[f] for f in BOX_FIELDS}
+        if ripe[i]:
+            spoken[i] = True
+            new.append(row)
+            reported = [*reported, place]
+        else:
+            still.append({**place, "streak": int(streaks[i])})
     return new, reported, still
 
 
@@ -85,7 +95,8 @@ class ReportOnce(StatefulProcessor):
     """State of one line: what was reported, what waits with its streak, and windows that came too early.
 
     Windows are taken in trace order; one that arrives before the window it follows waits until the gap
-    closes. A window seen before is ignored. The state of a line ends with its last window.
+    closes, and one that says how many boxes it has (n_boxes) waits until all of them have come, in however many
+    batches. A window that has been taken is ignored when it comes again. The state of a line ends with its last window.
     """
 
     BOX = "trace_start int, trace_end int, sample_start int, sample_end int"
@@ -96,14 +107,15 @@ class ReportOnce(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.reported = handle.getListState("reported", self.BOX)
         self.waiting = handle.getListState("waiting", self.BOX + ", streak int")
-        self.early = handle.getListState("early", "chunk_end int, window_end int, line_complete boolean, class_name string, confidence double, " + self.BOX)
+        self.early = handle.getListState("early", "chunk_end int, window_end int, line_complete boolean, class_name string, confidence double, " + self.BOX + ", n_boxes int")
         self.position = handle.getValueState("position", "chunk_end int, finished boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last, finished = self.position.get() if self.position.exists() else (0, False)
-        columns = ["chunk_end", "window_end", "line_complete", "class_name", "confidence", *BOX_FIELDS]
+        columns = ["chunk_end", "window_end", "line_complete", "class_name", "confidence", *BOX_FIELDS, "n_boxes"]
         pending = [dict(zip(columns, r)) for r in self.early.get()] if self.early.exists() else []
         for pdf in rows:
+            pdf = pdf if "n_boxes" in pdf else pdf.assign(n_boxes=None)
             pending += pdf[columns].astype(object).where(pdf[columns].notna(), None).to_dict("records")
         windows: dict[int, list[dict]] = {}
         for row in pending:
@@ -115,11 +127,14 @@ class ReportOnce(StatefulProcessor):
             end = min(windows)
             if end > last and end > last + self.chunk_traces:
                 break  # a window in between has not come yet
-            group = windows.pop(end)
+            group = windows[end]
+            boxes = list({tuple(r[f] for f in BOX_FIELDS): r for r in group if r["trace_start"] is not None}.values())
+            if end > last and len(boxes) < max((r["n_boxes"] or 0) for r in group):
+                break  # a part of the window has not come yet
+            del windows[end]
             if end <= last:
                 continue  # delivered again
             complete = bool(group[0]["line_complete"])
-            boxes = list({tuple(r[f] for f in BOX_FIELDS): r for r in group if r["trace_start"] is not None}.values())
             new, reported, waiting = settle_window(boxes, int(group[0]["window_end"]), complete, reported, waiting)
             out += [{"chunk_end": end, **{c: r[c] for c in ("class_name", "confidence", *BOX_FIELDS)}} for r in new]
             last, finished = end, complete
@@ -142,7 +157,8 @@ class ReportOnce(StatefulProcessor):
 def report_once(window_boxes: DataFrame, chunk_traces: int = P.CHUNK_TRACES) -> DataFrame:
     """Stream of window boxes to stream of findings, each target once. Needs the RocksDB state store.
 
-    A window without boxes must send one row with null box fields, so that streaks break.
+    A window without boxes must send one row with null box fields, so that streaks break. Where a window's rows may be
+    spread over batches, each of them says in n_boxes how many boxes there are; without it a window arrives whole.
     """
     return window_boxes.groupBy(*LINE_KEY).transformWithStateInPandas(
         statefulProcessor=ReportOnce(chunk_traces), outputStructType=REPORT_SCHEMA, outputMode="Append", timeMode="None")
