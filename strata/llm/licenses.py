@@ -16,7 +16,7 @@ GRAM = 3
 SLACK = 2
 COVERED = 0.6
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-KELVIN = "K"  # the one character beyond ASCII that lower-casing makes an ASCII letter
+KELVIN = "\u212a"  # the one character beyond ASCII that lower-casing makes an ASCII letter
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Base phrases and their labels.
@@ -80,18 +80,23 @@ def _base_places(text: Column) -> Column:
         return F.concat(*found)
 
     none = F.array().cast("array<struct<label: string, place: long>>")
-    return F.when(F.contains(F.lower(text), F.lit("license")), places(_words(text))).otherwise(none)
+    once = F.get(F.transform(F.array(_words(text)), places), F.lit(0))  # a lambda's variable, so that a text is cut only once
+    return F.when(F.contains(F.lower(text), F.lit("license")), once).otherwise(none)
 
 
 def license_spans(docs: DataFrame) -> DataFrame:
-    """(doc_key, text_key, label, first, last, coverage): verified spans, word places from 0, last included."""
+    """(doc_key, text_key, label, first, last, coverage): verified spans, word places from 0, last included.
+
+    Templates are fixed values, a few hundred grams, so every task can have them.
+    """
     spark = docs.sparkSession
     rows = spark.createDataFrame(template_grams(), "template int, label string, at int, grams int, gram string")
     rows = rows.withColumn("hash", _hash([F.split_part("gram", F.lit(" "), F.lit(k + 1)) for k in range(GRAM)])).drop("gram")
-    words = docs.select(C("doc_id").alias("doc_key"), F.xxhash64("text").alias("text_key"), _words(C("text")).alias("w")).filter(F.size("w") >= GRAM)
-    grams = words.select("doc_key", "text_key", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("w") - GRAM), lambda i: _hash([F.get("w", i + k) for k in range(GRAM)]))).alias("place", "hash"))
+    words = docs.select(C("doc_id").alias("doc_key"), F.xxhash64("text").alias("text_key"), _words(C("text")).alias("w"))
+    hashes = F.transform(F.sequence(F.lit(0), F.size("w") - GRAM), lambda i: _hash([F.get("w", i + k) for k in range(GRAM)]))
+    grams = words.select("doc_key", "text_key", F.posexplode(F.when(F.size("w") >= GRAM, hashes)).alias("place", "hash"))
     key = ["doc_key", "text_key", "template", "label", "grams"]
-    votes = grams.join(rows, "hash").select(*key, "place", "at", (C("place") - C("at")).alias("diagonal")).distinct()
+    votes = grams.join(F.broadcast(rows), "hash").select(*key, "place", "at", (C("place") - C("at")).alias("diagonal")).distinct()
     diagonals = votes.groupBy(*key, "diagonal").agg(F.collect_set("at").alias("ats"), F.min("place").alias("first"), F.max("place").alias("last"))
     along = Window.partitionBy(*key).orderBy("diagonal")
     apart = F.coalesce((C("diagonal") - F.lag("diagonal").over(along) > SLACK).cast("int"), F.lit(0))
