@@ -137,17 +137,17 @@ def digest_sql() -> str:
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES)
     return rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
-t(template, label, at, grams, gram) AS (VALUES {values}),
+t(template, label, tpos, grams, gram) AS (VALUES {values}),
 phrase(p, label, k) AS (VALUES {phrases}),
 place AS (SELECT doc_id, i - 1 AS place, ws[i] AS a, ws[i:i + 1] AS ab, ws[i:i + 2] AS abc FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
 base AS (SELECT doc_id, place, label FROM place JOIN phrase ON (k = 2 AND array_to_string(ab, ' ') = p) OR (k = 3 AND array_to_string(abc, ' ') = p)),
 bases AS (SELECT doc_id, count(*) AS n, min(place) AS f, max(place) AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY doc_id),
-vote AS (SELECT doc_id, template, label, grams, place, at, place - at AS diagonal FROM (SELECT * FROM place WHERE len(abc) = 3) JOIN t ON array_to_string(abc, ' ') = gram),
+vote AS (SELECT doc_id, template, label, grams, place, tpos, place - tpos AS diagonal FROM (SELECT * FROM place WHERE len(abc) = 3) JOIN t ON array_to_string(abc, ' ') = gram),
 step AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {SLACK} THEN 1 ELSE 0 END AS apart
          FROM (SELECT DISTINCT doc_id, template, diagonal FROM vote)),
 run AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM step),
-span AS (SELECT doc_id, template, label, count(DISTINCT at) / CAST(grams AS DOUBLE) AS coverage FROM vote JOIN run USING (doc_id, template, diagonal)
-         GROUP BY doc_id, template, label, grams, run HAVING count(DISTINCT at) / CAST(grams AS DOUBLE) >= CAST({COVERED} AS DOUBLE)),
+span AS (SELECT doc_id, template, label, count(DISTINCT tpos) / CAST(grams AS DOUBLE) AS coverage FROM vote JOIN run USING (doc_id, template, diagonal)
+         GROUP BY doc_id, template, label, grams, run HAVING count(DISTINCT tpos) / CAST(grams AS DOUBLE) >= CAST({COVERED} AS DOUBLE)),
 label_ AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM span) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, CAST(f AS BIGINT) AS first_word, CAST(l AS BIGINT) AS last_word,
        coalesce(b.labels, '') AS base_labels, coalesce(x.labels, '') AS labels, coalesce(s.coverage, CAST(0 AS DOUBLE)) AS score
