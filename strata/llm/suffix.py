@@ -198,13 +198,54 @@ def repeated_starts(data: np.ndarray, begin: np.ndarray, high: np.ndarray, low:
         yield here, offset, by, same
 
 
-def _context_blob(part: Slice, pick: np.ndarray, found: tuple[np.ndarray, ...], order: np.ndarray, tag: np.ndarray, length: int) -> bytes:
-    place, first, last, _, row = (x[pick] for x in found)
-    high, low = place - first, place - last
-    counts = last - first + length
-    data = part.data[ranges(first, counts)]
-    columns = (order[row].astype(np.int64), tag[row].view(np.int64), first - part.offsets[row], high.astype(np.int64), low.astype(np.int64))
-    return exchange.join_parts([pack(c) for c in columns] + [pack(data)])
+class Contexts:
+    """Anchors with the strings they stand for: document, tag, start in the document, reach to the left, gram, bytes."""
+
+    def __init__(self):
+        self.columns: list[list[np.ndarray]] = [[] for _ in range(7)]
+        self.bytes: list[np.ndarray] = []
+
+    def add(self, part: Slice, found: tuple[np.ndarray, ...], pick: np.ndarray, order: np.ndarray, tag: np.ndarray, length: int) -> None:
+        place, first, last, gram, row = (x[pick] for x in found)
+        counts = last - first + length
+        whole = spans(prefix_sums(BYTE_VALUES[part.data]), first, first + counts)
+        for column, x in zip(self.columns, (order[row], tag[row].view(np.int64), first - part.offsets[row], place - first, place - last, gram, whole)):
+            column.append(x)
+        self.bytes.append(part.data[ranges(first, counts)])
+
+    def settled(self, length: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The columns in order of document and place, where the bytes of each begin, the bytes, which must travel, which are told.
+
+        Of equal contexts only the first travels. The others are wholly repeated, unless they are the first one's place in
+        a repeated row.
+        """
+        columns = [np.concatenate(c) for c in self.columns]
+        data = np.concatenate(self.bytes)
+        counts = columns[3] - columns[4] + length
+        begin = np.cumsum(counts) - counts
+        by = np.lexsort((columns[2] + columns[3], columns[1], columns[0]))
+        order, tag, first, high, low, gram, whole = columns = [c[by] for c in columns]
+        begin, counts = begin[by], counts[by]
+        alike = np.lexsort((high, counts, whole))  # stable, so the earliest of equal ones comes first
+        new = np.ones(len(alike), bool)
+        x, y = alike[1:], alike[:-1]
+        new[1:] = (whole[x] != whole[y]) | (counts[x] != counts[y]) | (high[x] != high[y])
+        head = np.empty(len(alike), np.int64)
+        head[alike] = alike[new][np.cumsum(new) - 1] if len(alike) else alike
+        later = np.flatnonzero(head != np.arange(len(head)))
+        same = np.zeros(len(head), bool)
+        width = int(counts.max(initial=0))
+        for a in range(0, len(later), 4096):  # the hash only proposes
+            some = later[a : a + 4096]
+            same[some] = (_matrix(data, begin[some], counts[some], width) == _matrix(data, begin[head[some]], counts[some], width)).all(axis=1)
+        twin = (order == order[head]) & (tag == tag[head]) & (first == first[head])
+        return columns, begin, data, ~same, same & ~twin
+
+
+def _context_blob(columns: list[np.ndarray], begin: np.ndarray, data: np.ndarray, pick: np.ndarray, length: int) -> bytes:
+    order, tag, first, high, low = (c[pick].astype(np.int64) for c in columns[:5])
+    bytes_ = data[ranges(begin[pick], high - low + length)]
+    return exchange.join_parts([pack(c) for c in (order, tag, first, high, low)] + [pack(bytes_)])
 
 
 def _row_tags(part: Slice) -> np.ndarray:
@@ -267,21 +308,31 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, whole_character
         return exchange.table_of(*exchange.post(order[tell], hashes[tell], n))
 
     def contexts(frames: pa.Table, answers: pa.Table) -> pa.Table:
-        wanted = exchange.posted(answers)
-        keys, blobs = [], []
+        wanted, held = exchange.posted(answers), Contexts()
         for table in exchange.thawed(frames):
             ids = np.asarray(table["order_"])
             for part in slices(table["text_"]):
                 found = anchors(part, length, GRAM)
                 order = ids[part.first : part.first + part.rows]
-                tag = _row_tags(part)
                 pick = np.flatnonzero(exchange.among(exchange.pairs(order[found[4]], found[3]), wanted))
-                for key, (chosen,) in exchange.split_by(exchange.bucket_of(found[3][pick], buckets), pick):
-                    keys.append(key)
-                    blobs.append(_context_blob(part, chosen, found, order, tag, length))
+                held.add(part, found, pick, order, _row_tags(part), length)
+        if not held.bytes:
+            return exchange.table_of([], [])
+        columns, begin, data, travel, told = held.settled(length)
+        order, tag, first, high, low, gram, _ = columns
+        keys, blobs = [], []
+        for key, (chosen,) in exchange.split_by(exchange.bucket_of(gram[travel], buckets), np.flatnonzero(travel)):
+            keys.append(key)
+            blobs.append(_context_blob(columns, begin, data, chosen, length))
+        if told.any():
+            end = first[told] + high[told] - low[told] + length
+            keys.append(-1 - frames["key"][0].as_py())
+            blobs.append(exchange.join_parts([pack(order[told]), pack(tag[told]), pack(first[told]), pack(end)]))
         return exchange.table_of(keys, blobs)
 
     def sort(blobs: pa.Table) -> pa.Table:
+        if blobs["key"][0].as_py() < 0:  # told by the chunk itself
+            return exchange.table_of([-1 - k for k in blobs["key"].to_pylist()], blobs["data"].to_pylist())
         columns: list[list[np.ndarray]] = [[] for _ in range(6)]
         for blob in blobs["data"].to_pylist():
             for k, raw in enumerate(exchange.split_parts(blob)):
