@@ -169,7 +169,8 @@ def encoded(docs: DataFrame, counts: Counts) -> DataFrame:
 
 
 def rare_sums(texts: DataFrame, vocabulary_: DataFrame, counts: Counts, n: int) -> DataFrame:
-    """(row, known, base, inside): sums over the words that are not in every task's table."""
+    """(row, known2, base2, inside2): sums over the words that are not in every task's table, packed by parts of the rows."""
+    parts = max(4, n // 8)
 
     def told(keys: list[np.ndarray], rows: list[np.ndarray]) -> pa.RecordBatch:
         k, r = np.concatenate(keys), np.concatenate(rows)
@@ -199,13 +200,27 @@ def rare_sums(texts: DataFrame, vocabulary_: DataFrame, counts: Counts, n: int)
         known, n_ = known[by], n_[by]
         at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
         c = np.where(known[at] == keys, n_[at], 0) if len(known) else np.zeros(len(keys), np.int64)
-        some, index = np.unique(rows, return_inverse=True)
-        sums = [np.bincount(index, w, len(some)).astype(float) for w in ((c > 0).astype(float), counts.base(c), counts.in_class(c, keys))]
-        return pa.table([pa.array(some, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["row", "known", "base", "inside"])
+        rows, sums = _summed(rows, [(c > 0).astype(float), counts.base(c), counts.in_class(c, keys)])
+        tell, blobs = [], []
+        for key, (some, *part) in exchange.split_by(exchange.chunk_of(rows, parts), rows, *sums):
+            tell.append(key)
+            blobs.append(exchange.join_parts([pack(x) for x in (some, *part)]))
+        return exchange.table_of(tell, blobs)
+
+    def add(blobs: pa.Table) -> pa.Table:
+        columns = [exchange.split_parts(b) for b in blobs["data"].to_pylist()]
+        rows = np.concatenate([unpack(c[0], np.int64) for c in columns])
+        rows, sums = _summed(rows, [np.concatenate([unpack(c[k], np.float64) for c in columns]) for k in (1, 2, 3)])
+        return pa.table([pa.array(rows), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["row", "known2", "base2", "inside2"])
 
     entries = texts.select("row", "rare").filter(F.octet_length("rare") > 0).mapInArrow(emit, exchange.PACKED)
-    met = entries.groupBy("key").cogroup(vocabulary_.groupBy("key")).applyInArrow(look, "row long, known long, base double, inside double")
-    return met.groupBy("row").agg(F.sum("known").alias("known2"), F.sum("base").alias("base2"), F.sum("inside").alias("inside2"))
+    met = entries.groupBy("key").cogroup(vocabulary_.groupBy("key")).applyInArrow(look, exchange.PACKED)
+    return exchange.meet(met, add, "row long, known2 long, base2 double, inside2 double")
+
+
+def _summed(rows: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    some, index = np.unique(rows, return_inverse=True)
+    return some, [np.bincount(index, c, len(some)).astype(float) for c in columns]
 
 
 class Model:
