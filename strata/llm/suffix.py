@@ -55,7 +55,8 @@ def anchors(part: Slice, length: int, gram: int) -> tuple[np.ndarray, ...]:
     first[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
     begin = np.flatnonzero(first)
     end = np.append(begin[1:], len(start)) - 1
-    return place[begin], start[begin], start[end], hashes[place[begin]], row[begin]
+    # The smallest hashes are small, so they are mixed again before they are dealt to buckets.
+    return place[begin], start[begin], start[end], mix(hashes[place[begin]]), row[begin]
 
 
 def _letters(rows: np.ndarray, depth: int) -> np.ndarray:
