@@ -29,7 +29,8 @@ from strata.operators.graph import connected_components
 C = F.col
 WORDS = 5
 SIMILAR = Fraction(3, 4)
-FRAGMENTS = 8
+FRAGMENT_BITS = 2
+FRAGMENTS = 1 << FRAGMENT_BITS
 STAR_ROUNDS = 2
 HOPS = 4
 PRINT_BITS = 40  # of a hash, for frequencies: a clash only makes an n-gram look less rare
@@ -156,7 +157,7 @@ def _set_rows(ids: np.ndarray, grams: np.ndarray, bounds: np.ndarray, often: np.
         place = np.arange(len(by))[count[by] > 1]
         chosen = mine[by[place]].view(np.int64)
         prefix.append([{"gram": g, "place": p} for g, p in zip(chosen.tolist(), place.tolist())])
-        cut = np.searchsorted(mine, (np.arange(1, FRAGMENTS, dtype=U64) << U64(64 - 3)))
+        cut = np.searchsorted(mine, (np.arange(1, FRAGMENTS, dtype=U64) << U64(64 - FRAGMENT_BITS)))
         fragments.append([x.tobytes() for x in np.split(mine, cut)])
     columns = [ids, n, high, low, suspect, alone / np.maximum(n, 1), prefix, fragments]
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
