@@ -77,25 +77,6 @@ def test_stream_equals_batch_with_duplicates_disorder_and_restart(spark, tmp_pat
     assert got == want and len(want) == 6
 
 
-def test_a_window_in_parts_is_settled_once_it_is_whole(spark, tmp_path):
-    boxes = [(10, 30, 5, 20), (40, 60, 30, 50), (100, 120, 5, 20)]
-    rows = windows(1, range(16, 257, 16), 256, boxes)
-    counted = as_frame(spark, rows).join(as_frame(spark, rows).groupBy("chunk_end").agg(F.count("trace_start").cast("int").alias("n_boxes")), "chunk_end")
-    schema = S.WINDOW_BOX_SCHEMA + ", n_boxes int"
-    src, out, check = (str(tmp_path / n) for n in ("src", "out", "check"))
-    names = [c.split(" ")[0] for c in schema.split(", ")]
-    for part in (F.col("trace_start").isNull() | (F.col("trace_start") != 40), F.col("trace_start") == 40):  # the second box of every window comes later
-        counted.filter(part).select(names).coalesce(1).write.mode("append").parquet(src)
-        time.sleep(0.05)
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = S.report_once(s).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert q.exception() is None
-    key = ["line_id", "chunk_end", "trace_start", "trace_end", "sample_start"]
-    got = sorted(tuple(r) for r in spark.read.parquet(out).select(key).collect())
-    assert got == sorted(tuple(r) for r in S.report_once_batch(as_frame(spark, rows)).select(key).collect()) and len(got) == 3
-
-
 def test_replayed_windows_grow_and_end_complete(spark):
     lines = spark.createDataFrame([(1, 50, 0.025)], "line_id long, n_traces int, spacing double")
     w = S.replay_windows(lines, 16).orderBy("chunk_end").collect()
