@@ -21,8 +21,8 @@ from strata.llm.text import BYTE_VALUES, PLAIN, U64, owners, prefix_sums, slices
 BUCKETS = 1 << 15
 NGRAMS = (2, 3, 4)
 SIZE = 8
-SAMPLE = 4000  # labelled rows at most that the model is fitted on: those with the smallest hashes of their ids
-EPOCHS = 5
+SAMPLE = 2000  # labelled rows at most that the model is fitted on: those with the smallest hashes of their ids
+EPOCHS = 8
 RATE = 0.1
 FEATURE_BYTES = 1 << 20  # slices for scoring
 
@@ -98,8 +98,10 @@ class Model:
 
 def train(table: pa.Table) -> Model:
     """Stochastic gradient descent on bags of the sample; classes weigh alike. Without both labels, a constant."""
-    rows = sorted(zip(table["doc_id"].to_pylist(), table["y"].to_pylist(), table["ids"].to_pylist(), table["shares"].to_pylist()))
-    y = np.array([r[1] for r in rows], np.int64)
+    # In the order of ids and bags, whatever order they came in; the bags stay in Arrow's memory.
+    ids, shares = table["ids"].combine_chunks(), table["shares"].combine_chunks()
+    by = np.lexsort((np.asarray(table["y"]), np.asarray(table["doc_id"]))) if table.num_rows else np.zeros(0, np.int64)
+    y = np.asarray(table["y"])[by].astype(np.int64)
     share = y.mean() if len(y) else 0.5
     if not 0 < share < 1:
         return Model(np.zeros(BUCKETS), 40.0 * (2 * share - 1))
@@ -107,12 +109,12 @@ def train(table: pa.Table) -> Model:
     vectors = rng.uniform(-1 / SIZE, 1 / SIZE, (BUCKETS, SIZE))
     out, bias = np.zeros((2, SIZE)), np.zeros(2)
     class_weight = 0.5 / np.array([1 - share, share])
-    texts = [(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in rows]
+    texts = [(np.frombuffer(ids[int(i)].as_buffer(), np.int32), np.frombuffer(shares[int(i)].as_buffer(), np.float32)) for i in by]
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
-        for k in rng.permutation(len(rows)):
-            ids, part = texts[k]
-            mean = part @ vectors[ids]
+        for k in rng.permutation(len(texts)):
+            kinds, part = texts[k]
+            mean = part @ vectors[kinds]
             z = out @ mean + bias
             p = np.exp(z - z.max())
             p /= p.sum()
@@ -122,7 +124,7 @@ def train(table: pa.Table) -> Model:
             out -= np.outer(p, mean)
             bias -= p
             # Buckets move by their share of the average, scaled so that the average itself moves by one step.
-            vectors[ids] -= np.outer(part / max(part @ part, 1e-12), back)
+            vectors[kinds] -= np.outer(part / max(part @ part, 1e-12), back)
     return Model(vectors @ (out[1] - out[0]), bias[1] - bias[0])
 
 
