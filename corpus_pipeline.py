@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.decontaminate import without_contaminated
-from strata.llm.jaccard import jaccard_groups
+from strata.llm.jaccard import jaccard_rows
 from strata.llm.mixing import mix_sources
 from strata.llm.quality import without_rejects
 from strata.llm.stage import stage
 from strata.llm.suffix import without_repeats
 
 
+ROW = "row_of_near_duplicates"
+
+
 def _table(docs: DataFrame, sf_dir: str, name: str) -> DataFrame:
     return docs.sparkSession.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,15 +28,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: the smallest id, and of rows with one id the first by text.
+    """One row of each group of linked ones: the smallest id, null last, and of rows with one id the first by text, then any one.
 
-    Documents without words link with nothing and stay; so do documents without id, unless they link to one with an id.
+    Rows without words link with nothing and stay; so do rows without id, unless they link to another.
     """
-    groups = jaccard_groups(docs).filter((F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull()).select("doc_id").distinct()
-    kept = docs.join(groups.select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    one = kept.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("h"))
-    first = kept.join(one.select(F.col("doc_id").alias("one_id"), "h"), F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.xxhash64("text") == F.col("h")), "left_semi")
-    return first.unionByName(docs.limit(0))
+    numbered = stage(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    groups = jaccard_rows(numbered.select(F.col(ROW).alias("row"), "doc_id", "text"))
+    heads = stage(groups.filter(F.col("order_") == F.col("least")).select("row", "component"))
+    each = heads.groupBy("component").agg(F.count("*").alias("heads"), F.min("row").alias("row"))
+    tied = heads.join(each.filter("heads > 1").select("component"), "component")
+    texts = numbered.select(F.col(ROW).alias("row"), "text").join(tied, "row")
+    first = texts.groupBy("component").agg(F.min(F.struct("text", "row")).alias("m")).select("m.row")
+    kept = each.filter("heads = 1").select("row").union(first)
+    return numbered.join(kept.select(F.col("row").alias(ROW)), ROW, "left_semi").select(*docs.columns)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ FRAGMENTS = 1 << FRAGMENT_BITS
 STAR_ROUNDS = 2
 HOPS = 4
 PRINT_BITS = 40  # of a hash, for frequencies: a clash only makes an n-gram look less rare
-SETS = "order_ long, n long, high long, low long, suspect boolean, lonely double, prefix array<struct<gram: long, place: int>>, fragments array<binary>"
+SETS = "row long, order_ long, n long, high long, low long, suspect boolean, lonely double, prefix array<struct<gram: long, place: int>>, fragments array<binary>"
 
 
 def distinct_grams(hashes: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,8 +67,8 @@ def _set_key(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def gram_sets(docs: DataFrame, words: int, similar: Fraction) -> DataFrame:
-    """One row for each document: its set's size and key, whether it may link at all, and if so its prefix and fragments."""
-    rows = exchange.keyed(docs.select("doc_id", "text"))
+    """One row for each of `docs` (row, doc_id, text): its set's size and key, whether it may link at all, and if so its prefix and fragments."""
+    rows = exchange.keyed(docs.select("row", "doc_id", "text"))
     n = exchange.shares(docs)
 
     def of(part):
@@ -119,13 +119,14 @@ def gram_sets(docs: DataFrame, words: int, similar: Fraction) -> DataFrame:
         df = df[first]
         out = []
         for table in exchange.thawed(frames):
-            ids = np.asarray(table["order_"])
+            ids, rows_ = np.asarray(table["order_"]), np.asarray(table["row_"].combine_chunks().field("row"))
             for part in slices(table["text_"], lower=True):
                 grams, bounds = of(part)
                 wanted = exchange.pairs(ids[part.first + owners(bounds)], _prints(grams))
                 at = np.minimum(np.searchsorted(number, wanted), max(len(number) - 1, 0))
                 often = np.where(number[at] == wanted, df[at], 1) if len(number) else np.ones(len(grams), np.int64)
-                out.append(_set_rows(ids[part.first : part.first + part.rows], grams, bounds, often, similar))
+                own = slice(part.first, part.first + part.rows)
+                out.append(_set_rows(rows_[own], ids[own], grams, bounds, often, similar))
         return pa.concat_tables(out) if out else _SCHEMA.empty_table()
 
     answers = exchange.meet(rows.mapInArrow(emit, exchange.PACKED), count)
@@ -133,12 +134,12 @@ def gram_sets(docs: DataFrame, words: int, similar: Fraction) -> DataFrame:
 
 
 _SCHEMA = pa.schema([
-    ("order_", pa.int64()), ("n", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("suspect", pa.bool_()), ("lonely", pa.float64()),
+    ("row", pa.int64()), ("order_", pa.int64()), ("n", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("suspect", pa.bool_()), ("lonely", pa.float64()),
     ("prefix", pa.list_(pa.struct([("gram", pa.int64()), ("place", pa.int32())]))), ("fragments", pa.list_(pa.binary())),
 ])
 
 
-def _set_rows(ids: np.ndarray, grams: np.ndarray, bounds: np.ndarray, often: np.ndarray, similar: Fraction) -> pa.Table:
+def _set_rows(rows: np.ndarray, ids: np.ndarray, grams: np.ndarray, bounds: np.ndarray, often: np.ndarray, similar: Fraction) -> pa.Table:
     n = np.diff(bounds)
     high, low = _set_key(grams, bounds)
     total = np.concatenate(([0], np.cumsum(often == 1)))
@@ -159,7 +160,7 @@ def _set_rows(ids: np.ndarray, grams: np.ndarray, bounds: np.ndarray, often: np.
         prefix.append([{"gram": g, "place": p} for g, p in zip(chosen.tolist(), place.tolist())])
         cut = np.searchsorted(mine, (np.arange(1, FRAGMENTS, dtype=U64) << U64(64 - FRAGMENT_BITS)))
         fragments.append([x.tobytes() for x in np.split(mine, cut)])
-    columns = [ids, n, high, low, suspect, alone / np.maximum(n, 1), prefix, fragments]
+    columns = [rows, ids, n, high, low, suspect, alone / np.maximum(n, 1), prefix, fragments]
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
 
 
@@ -199,8 +200,18 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, similar: Fraction = SIMI
     its links, or null if no linked row has an id. Repeated rows and equal sets are linked. Sets are told apart by 128
     bits, n-grams by 64. Any length, no caps. No rows give no rows.
     """
-    spark = docs.sparkSession
-    sets = stage(gram_sets(docs, words, similar).withColumn("row", F.monotonically_increasing_id()))
+    none = F.lit(exchange.LAST_ID)
+    rows = jaccard_rows(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), words, similar)
+    return rows.select(F.nullif("order_", none).alias("doc_id"), C("n").alias("n_shingles"), F.nullif("least", none).alias("component_id"))
+
+
+def jaccard_rows(docs: DataFrame, words: int = WORDS, similar: Fraction = SIMILAR) -> DataFrame:
+    """row, order_, n, component, least for each row of `docs` (row, doc_id, text), whose `row` differs from all others.
+
+    Links as in `jaccard_groups`. component is one number for all rows that links connect and the row's own for a row that
+    links with nothing; order_ is the doc_id and least the smallest of the component, LAST_ID for a null id.
+    """
+    sets = stage(gram_sets(docs, words, similar))
     held = sets.filter("suspect")
     # Equal sets are one node, named by one of its rows; only one row for each goes on.
     classes = held.groupBy("high", "low").agg(F.min("row").alias("node"))
@@ -227,10 +238,9 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, similar: Fraction = SIMI
     named = classes.join(label, "node").select("high", "low", "component")
     members = sets.filter("n > 0").select("order_", "high", "low", "row").join(named, ["high", "low"], "left").withColumn("component", F.coalesce("component", "row"))
     least = members.groupBy("component").agg(F.min("order_").alias("least"))
-    group = members.join(least, "component").select("row", "least")
-    none = F.lit(exchange.LAST_ID)
+    group = members.join(least, "component").select("row", "component", "least")
     return sets.select("order_", "n", "row").join(group, "row", "left").select(
-        F.nullif("order_", none).alias("doc_id"), C("n").alias("n_shingles"), F.nullif(F.coalesce("least", "order_"), none).alias("component_id")
+        "row", "order_", "n", F.coalesce("component", "row").alias("component"), F.coalesce("least", "order_").alias("least")
     )
 
 

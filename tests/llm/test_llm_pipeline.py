@@ -51,3 +51,16 @@ def test_stages(spark, made, tmp_path):
     before, after = steps["source_mixing"]
     assert pairs(after) == pairs(before)
     assert corpus_pipeline.run(spark, made).count() == after.count()
+
+
+def test_near_duplicates_leave_one_row_of_each_group(spark, tmp_path):
+    a, b, c, d, e, f, g = (words(40) for _ in range(7))
+    alone = [(None, a), (None, b), (None, None), (8, None)]  # rows that link with nothing
+    copies = [(None, c), (1, c), (None, d), (None, d), (2, e), (2, e), (2, e)]  # of documents with and without id, and repeated rows
+    twice = [(3, f), (3, g), (4, f), (4, g)]  # two texts of one id, each copied by another
+    frame(spark, alone + copies + twice).write.parquet(str(tmp_path / "rows"))
+    docs = spark.read.parquet(str(tmp_path / "rows"))
+    after = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert after.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in after.collect()), key=str)
+    assert got == sorted([*alone, (1, c), (None, d), (2, e), (3, f), (3, g)], key=str)
