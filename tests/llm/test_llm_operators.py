@@ -292,3 +292,24 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0)).collect() == []
     few = {(r.query_id, r.vec_id) for r in ann.nearest(df.filter("vec_id < 4")).collect()}
     assert few == {(0, 1), (0, 2), (0, 3)}
+
+
+def recall_of_nearest(spark, x, every=100):
+    kind = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+    got = {}
+    for r in ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], kind), every).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, len(x), every):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        hits += len(set(sorted((i for i in range(len(x)) if i != q), key=lambda i: (d[i], i))[:10]) & got[q])
+    return hits / (10 * len(range(0, len(x), every)))
+
+
+def test_nearest_among_near_copies_and_beside_a_huge_vector(spark):
+    rng = np.random.default_rng(7)
+    one = rng.standard_normal(16)
+    x = one / np.linalg.norm(one) + 1e-5 * rng.standard_normal((1500, 16))
+    x[0, 3] = 1e7
+    assert recall_of_nearest(spark, x[1:]) >= 0.9
+    assert recall_of_nearest(spark, x, 50) >= 0.9
