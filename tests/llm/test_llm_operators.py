@@ -313,3 +313,23 @@ def test_nearest_among_near_copies_and_beside_a_huge_vector(spark):
     x[0, 3] = 1e7
     assert recall_of_nearest(spark, x[1:]) >= 0.9
     assert recall_of_nearest(spark, x, 50) >= 0.9
+
+
+def test_what_meets_at_a_hub_is_bounded(spark):
+    n, k = 600, ann.NEIGHBOURS  # every node lists the first ones
+    x = 1 + np.random.default_rng(8).random((n, 4))
+    lists = [np.array([j for j in range(k + 1) if j != i][:k]) for i in range(n)]
+    d = lambda i, j: np.sqrt(((x[i] - x[j]) ** 2).sum(axis=-1))
+    rows = [(i, bytearray(np.sort(ann._edges(j, d(i, j), 1), order="d").tobytes())) for i, j in enumerate(lists)]
+    graph = spark.createDataFrame(rows, ann.LISTS)
+    nodes = spark.createDataFrame([(i, bytearray(v)) for i, v in enumerate(ann._pack_vectors(x, 2.0))], "node long, vector binary")
+    met = [(r.at, [(m.id, m.told) for m in r.met]) for r in ann._meetings(graph, nodes).collect()]
+    assert max(len(m) for _, m in met) <= 1 + 2 * k + 3 * ann.REVERSE
+    answers = {}
+    for at, m in met:
+        for i, told in m:
+            answers[i] = answers.get(i, 0) + told
+    assert max(answers.values()) <= 1 + k + ann.REVERSE
+    assert {(at, i) for at, m in met for i, told in m if told} >= {(int(j), i) for i in range(n) for j in lists[i]}  # nobody is left out
+    better = {r.node: len(r.data) // ann.EDGE.itemsize for r in ann._merged(graph.mapInArrow(ann._settled, ann.LISTS).union(ann._descend(graph, nodes))).collect()}
+    assert better == dict.fromkeys(range(n), k)
