@@ -95,7 +95,8 @@ class ReportOnce(StatefulProcessor):
     """State of one line: what was reported, what waits with its streak, and windows that came too early.
 
     Windows are taken in trace order; one that arrives before the window it follows waits until the gap
-    closes. A window seen before is ignored. The state of a line ends with its last window.
+    closes, and one that says how many boxes it has (n_boxes) waits until all of them have come, in however many
+    batches. A window that has been taken is ignored when it comes again. The state of a line ends with its last window.
     """
 
     BOX = "trace_start int, trace_end int, sample_start int, sample_end int"
@@ -106,15 +107,18 @@ class ReportOnce(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.reported = handle.getListState("reported", self.BOX)
         self.waiting = handle.getListState("waiting", self.BOX + ", streak int")
-        self.early = handle.getListState("early", "chunk_end int, window_end int, line_complete boolean, class_name string, confidence double, " + self.BOX)
+        self.early = handle.getListState("early", "chunk_end int, window_end int, line_complete boolean, class_name string, confidence double, " + self.BOX + ", n_boxes int")
         self.position = handle.getValueState("position", "chunk_end int, finished boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last, finished = self.position.get() if self.position.exists() else (0, False)
-        columns = ["chunk_end", "window_end", "line_complete", "class_name", "confidence", *BOX_FIELDS]
+        columns = ["chunk_end", "window_end", "line_complete", "class_name", "confidence", *BOX_FIELDS, "n_boxes"]
         pending = [dict(zip(columns, r)) for r in self.early.get()] if self.early.exists() else []
         for pdf in rows:
+            pdf = pdf if "n_boxes" in pdf else pdf.assign(n_boxes=None)
             pending += pdf[columns].astype(object).where(pdf[columns].notna(), None).to_dict("records")
+        for row in pending:  # integers beside nulls have come as floats, which integer state would hold as null
+            row.update({f: int(row[f]) for f in (*BOX_FIELDS, "n_boxes") if row[f] is not None})
         windows: dict[int, list[dict]] = {}
         for row in pending:
             windows.setdefault(int(row["chunk_end"]), []).append(row)
@@ -127,6 +131,8 @@ class ReportOnce(StatefulProcessor):
                 break  # a window in between has not come yet
             group = windows[end]
             boxes = list({tuple(r[f] for f in BOX_FIELDS): r for r in group if r["trace_start"] is not None}.values())
+            if end > last and len(boxes) < max((r["n_boxes"] or 0) for r in group):
+                break  # a part of the window has not come yet
             del windows[end]
             if end <= last:
                 continue  # delivered again
@@ -153,8 +159,8 @@ class ReportOnce(StatefulProcessor):
 def report_once(window_boxes: DataFrame, chunk_traces: int = P.CHUNK_TRACES) -> DataFrame:
     """Stream of window boxes to stream of findings, each target once. Needs the RocksDB state store.
 
-    A window without boxes must send one row with null box fields, so that streaks break. A window arrives
-    whole: rows of one that come in a later batch than its first are taken for a repeat.
+    A window without boxes must send one row with null box fields, so that streaks break. Where a window's rows may be
+    spread over batches, each of them says in n_boxes how many boxes there are; without it a window arrives whole.
     """
     return window_boxes.groupBy(*LINE_KEY).transformWithStateInPandas(
         statefulProcessor=ReportOnce(chunk_traces), outputStructType=REPORT_SCHEMA, outputMode="Append", timeMode="None")
