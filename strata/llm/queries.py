@@ -12,10 +12,12 @@ from strata.llm.hmm import sequence_scores
 from strata.llm.jaccard import jaccard_groups
 from strata.llm.language import language_digest
 from strata.llm.licenses import digest_sql, license_digest
+from strata.llm.linkrank import url_verdicts, verdict_sql
 from strata.llm.mixing import mixing_digest
 from strata.llm.quality import quality_digest
 from strata.llm.substring import removal_digest
 from strata.llm.suffix import suffix_digest
+from strata.llm.treap import ranked_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -131,3 +133,23 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS sour
 FROM p""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op12_link_graph", verdict_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"))
+
+
+@query("op13_lexical_search", rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+size AS (SELECT count(*) AS n_docs, sum(len(ws)) AS n_terms FROM d WHERE len(ws) > 0),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+tf AS (SELECT r, doc_id, n, w, count(*) AS tf FROM (SELECT r, doc_id, len(ws) AS n, unnest(ws) AS w FROM d) WHERE w IN (SELECT w FROM asked) GROUP BY ALL),
+df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
+part AS (SELECT r, doc_id, w, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT)
+                * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))) AS s FROM tf JOIN df USING (w), size),
+total AS (SELECT item_id, r, doc_id, CAST(sum(s) AS BIGINT) AS score FROM part JOIN asked USING (w) GROUP BY ALL HAVING sum(s) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS INTEGER) AS rank, doc_id, score
+FROM total QUALIFY rank <= 50""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
