@@ -14,6 +14,7 @@ from strata.llm.language import language_digest
 from strata.llm.licenses import digest_sql, license_digest
 from strata.llm.linkrank import url_verdicts, verdict_sql
 from strata.llm.mixing import mixing_digest
+from strata.llm.negatives import hard_negatives
 from strata.llm.quality import quality_digest
 from strata.llm.substring import removal_digest
 from strata.llm.suffix import suffix_digest
@@ -135,6 +136,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_digest(table(spark, sf_dir, "documents"))
 
 
+@query("op11_hard_negatives", """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS p
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id AS id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.p, b.p), lambda x: x[1] * x[2])) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.r <> b.r AND len(a.p) = len(b.p) WHERE a.vec_id % 50 = 0),
+pos AS (SELECT a, b, anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id, b) <= 5),
+neg AS (SELECT anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+               CAST(row_number() OVER (PARTITION BY a, pos.b ORDER BY score DESC, id, s.b) AS INTEGER) AS rank
+        FROM pos JOIN (SELECT a, b, id, score FROM s WHERE NOT same) s USING (a) WHERE 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 3""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 @query("op12_link_graph", verdict_sql())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"))
