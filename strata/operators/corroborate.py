@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strata import params as P
@@ -30,18 +31,71 @@ def neighbour_counts(apexes: DataFrame) -> DataFrame:
     return apexes.join(n, ["line_id", "position_m", "depth_m"])
 
 
+def _in_cells(spots: DataFrame) -> DataFrame:
+    """With the cell of each place: a hair smaller than both tolerances, so that all places of one cell are neighbours."""
+    small = 1 - 1e-6
+    return spots.withColumn("cp", F.floor(C("position_m") / (P.CLUSTER_POSITION_M * small))).withColumn("cd", F.floor(C("depth_m") / (P.CLUSTER_DEPTH_M * small)))
+
+
+def _front(side: DataFrame, pair: list[str], p: Column, d: Column) -> DataFrame:
+    """Of each pair's places only those that no other passes in both p and d: if any place reaches across, one of these does."""
+    ahead = W.partitionBy(*pair).orderBy(p.desc(), d.desc()).rowsBetween(W.unboundedPreceding, -1)
+    return side.withColumn("best", F.max(d).over(ahead)).filter(C("best").isNull() | (d > C("best"))).drop("best")
+
+
+def _cell_links(core: DataFrame) -> DataFrame:
+    """(u, v): cells of which a core place of one is near a core place of the other. No pair of places is written.
+
+    Places within reach lie at most two cells apart on an axis. Along one axis the nearest ends of two cells decide; across
+    a corner the places that are furthest out on both axes do.
+    """
+    cells = core.groupBy("line_id", "cp", "cd").agg(
+        F.min("cell").alias("cell"), F.min("position_m").alias("p0"), F.max("position_m").alias("p1"), F.min("depth_m").alias("d0"), F.max("depth_m").alias("d1"))
+    ways = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in range(-2, 3) for y in range(3) if y or x > 0])
+    near = cells.withColumn("way", F.explode(ways)).withColumn("np", C("cp") + C("way.x")).withColumn("nd", C("cd") + C("way.y"))
+    other = cells.select("line_id", C("cp").alias("np"), C("cd").alias("nd"), *[C(c).alias(f"o_{c}") for c in ("cell", "p0", "p1", "d0", "d1")])
+    x = C("way.x")
+    apart_p = F.when(x > 0, C("o_p0") - C("p1")).when(x < 0, C("p0") - C("o_p1")).otherwise(0.0)
+    apart_d = F.when(C("way.y") > 0, C("o_d0") - C("d1")).otherwise(0.0)
+    met = near.join(other, ["line_id", "np", "nd"]).filter((apart_p <= P.CLUSTER_POSITION_M) & (apart_d <= P.CLUSTER_DEPTH_M))
+    met = cut_lineage(met.select(C("cell").alias("u"), C("o_cell").alias("v"), x.alias("x"), C("way.y").alias("y"), *[c for n in ("p0", "p1", "d1") for c in (C(n), C(f"o_{n}"))], "o_d0"))
+    straight = met.filter("x = 0 OR y = 0").select("u", "v")
+    corner = met.filter("x <> 0 AND y <> 0")
+    # Only places near the corner take part: those that reach the furthest place of the other cell.
+    out = lambda p: F.when(C("x") > 0, p).otherwise(-p)
+    a = core.select(C("cell").alias("u"), "position_m", "depth_m").join(corner, "u")
+    a = a.filter((F.when(C("x") > 0, C("o_p0") - C("position_m")).otherwise(C("position_m") - C("o_p1")) <= P.CLUSTER_POSITION_M) & (C("o_d0") - C("depth_m") <= P.CLUSTER_DEPTH_M))
+    b = core.select(C("cell").alias("v"), "position_m", "depth_m").join(corner, "v")
+    b = b.filter((F.when(C("x") > 0, C("position_m") - C("p1")).otherwise(C("p0") - C("position_m")) <= P.CLUSTER_POSITION_M) & (C("depth_m") - C("d1") <= P.CLUSTER_DEPTH_M))
+    pair = ["u", "v"]
+    a = _front(a.select(*pair, "x", "position_m", "depth_m"), pair, out(C("position_m")), C("depth_m"))
+    b = _front(b.select(*pair, "x", "position_m", "depth_m"), pair, -out(C("position_m")), -C("depth_m"))
+    across = a.join(b.select(*pair, C("position_m").alias("o_p"), C("depth_m").alias("o_d")), pair)
+    reach = (F.when(C("x") > 0, C("o_p") - C("position_m")).otherwise(C("position_m") - C("o_p")) <= P.CLUSTER_POSITION_M) & (C("o_d") - C("depth_m") <= P.CLUSTER_DEPTH_M)
+    return straight.unionByName(across.filter(reach).select("u", "v").distinct())
+
+
 def clusters(apexes: DataFrame, min_samples: int = 2) -> DataFrame:
-    """Density clusters per line: apexes with enough neighbours chain together; borders join the lowest cluster."""
-    spots = with_node_ids(places(apexes))
+    """Density clusters per line: apexes with enough neighbours chain together; borders join the lowest cluster.
+
+    Cells stand for their places, all of which are neighbours: a cell of `min_samples` apexes or more is dense, and only the
+    few places of thinner cells are compared with what lies around them. So work grows with the places, however dense.
+    """
+    spots = _in_cells(with_node_ids(places(apexes)))
+    full = spots.groupBy("line_id", "cp", "cd").agg(F.sum("n_here").alias("n_cell"), F.min("node").alias("cell"))
+    spots = cut_lineage(spots.join(full, ["line_id", "cp", "cd"]))
+    thin = spots.filter(C("n_cell") < min_samples).select("line_id", "position_m", "depth_m", C("node").alias("u"))
     other = spots.select("line_id", C("position_m").alias("o_position"), C("depth_m").alias("o_depth"), C("n_here").alias("o_n"), C("node").alias("v"))
     reach = [("position_m", "o_position", P.CLUSTER_POSITION_M), ("depth_m", "o_depth", P.CLUSTER_DEPTH_M)]
-    near = cut_lineage(band_join(spots.withColumnRenamed("node", "u"), other, ["line_id"], reach, grid_axes=1).select("u", "v", "o_n"))
-    core = near.groupBy("u").agg(F.sum("o_n").alias("n")).filter(C("n") >= min_samples).select(C("u").alias("node"))
-    links = near.filter(C("u") < C("v")).join(core.select(C("node").alias("u")), "u", "left_semi").join(core.select(C("node").alias("v")), "v", "left_semi")
-    labels = connected_components(core, links)
-    border = near.join(core.select(C("node").alias("u")), "u", "left_anti").join(labels.withColumnRenamed("node", "v"), "v")
+    near = cut_lineage(band_join(thin, other, ["line_id"], reach).select("u", "v", "o_n"))
+    enough = near.groupBy(C("u").alias("node")).agg(F.sum("o_n").alias("n")).filter(C("n") >= min_samples).select("node")
+    dense = spots.filter(C("n_cell") >= min_samples)
+    core = cut_lineage(dense.unionByName(spots.join(enough, "node", "left_semi")))
+    labels = connected_components(core.select(C("cell").alias("node")).distinct(), _cell_links(core))
+    labelled = core.select("node", "cell").join(labels.withColumnRenamed("node", "cell"), "cell").select("node", "component")
+    border = near.join(core.select(C("node").alias("u")), "u", "left_anti").join(labelled.withColumnRenamed("node", "v"), "v")
     border = border.groupBy(C("u").alias("node")).agg(F.min("component").alias("component"))
-    members = spots.join(labels.unionByName(border), "node")
+    members = spots.select("node", "line_id", "position_m", "depth_m").join(labelled.unionByName(border), "node")
     # A cluster is named by its first place, which does not depend on how places were numbered.
     names = members.groupBy("component").agg(F.min(F.struct("position_m", "depth_m")).alias("cluster"))
     named = members.join(names, "component").select("line_id", "position_m", "depth_m", "cluster")
@@ -76,8 +130,6 @@ def run_lines(clustered: DataFrame, keys: tuple[str, ...] = ("line_id", "cluster
     RUN_TRIALS trial lines go through pairs of places that a hash of the cluster and the trial draws from all of
     them, so the trials grow neither with the places nor with their square; the best keeps the most members.
     """
-    from pyspark.sql import Window as W
-
     spots = clustered.groupBy(*keys, "position_m", "depth_m").agg(F.count("*").alias("n"))
     w = W.partitionBy(*keys).orderBy("position_m", "depth_m")
     numbered = spots.withColumn("place", F.row_number().over(w) - 1)

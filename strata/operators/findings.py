@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -172,13 +173,18 @@ def write_findings(findings: DataFrame, path: str) -> None:
 
 
 def append_new(identified: DataFrame, path: str) -> None:
-    """Rows whose finding_id is not in the table under `path`, once each, in the surveys' partitions."""
-    spark = identified.sparkSession
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    """Rows whose finding_id is not in the table under `path`, once each, in the surveys' partitions.
+
+    Only the partitions of the rows' own surveys are read. Streams commit through `streaming.ledger`, which reads nothing back.
+    """
     fresh = identified.dropDuplicates(["finding_id"])
-    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        fresh = fresh.join(spark.read.parquet(path).select("finding_id"), "finding_id", "left_anti")
-    fresh.write.mode("append").partitionBy("survey_id").parquet(path)
+    try:
+        stored = identified.sparkSession.read.schema(identified.schema).parquet(path)
+        fresh = fresh.join(stored.select("survey_id", "finding_id"), ["survey_id", "finding_id"], "left_anti")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+    fresh.select(*identified.columns).write.mode("append").partitionBy("survey_id").parquet(path)
 
 
 def finding_key(findings: DataFrame) -> Column:

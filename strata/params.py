@@ -77,6 +77,7 @@ PICK_POSITION_ERROR_M, DEPTH_RELATIVE_ERROR, FITTED_RELATIVE_ERROR, DEPTH_FLOOR_
 RUN_MAX_GAP_M, RUN_DEPTH_STEP_M, RUN_DEPTH_RANGE_M, RUN_MIN_LINES = 1.5, 0.2, 0.4, 3
 RUN_STRAIGHTNESS_M, RUN_MIN_CROSSING_DEG = 0.3, 30.0
 FAMILY_ANGLE_DEG, LINE_EDGE_M, MIN_FIXES = 30.0, 0.3, 5
+TRACK_STEP_M = 1.0  # about, between the points of a line's track
 CHANCE_DRAWS, CHANCE_P_MAX = 30, 0.05
 TARGETS_PER_LINE, ARCHES_PER_LINE = 10, 8
 M_PER_DEG_LAT, M_PER_DEG_LON_EQUATOR = 110_574.0, 111_320.0

@@ -105,11 +105,15 @@ def _(spark, sf):
 
 
 @query("G07_line_track_points", f"""WITH {_BRACKET}, e AS (SELECT line_id, min(c0) AS lo, max(c0) AS hi FROM an GROUP BY line_id HAVING max(c0) > min(c0)),
-  q AS (SELECT DISTINCT line_id, lo + (hi - lo) * i / greatest(1, ceil((hi - lo) / 50.0)) AS x FROM e, range(200) AS r(i) WHERE i <= greatest(1, ceil((hi - lo) / 50.0))),
+  q AS (SELECT DISTINCT line_id, lo + (hi - lo) * i / n AS x FROM (SELECT *, unnest(range(CAST(n AS BIGINT) + 1)) AS i FROM (SELECT *, greatest(1, ceil(hi - lo)) AS n FROM e))),
   b AS (SELECT q.line_id, q.x, arg_min((c0, c1, lat0, lat1), (c0, c1)) AS s FROM q LEFT JOIN sp ON sp.line_id = q.line_id AND sp.c1 IS NOT NULL AND sp.c0 <= q.x AND q.x <= sp.c1 GROUP BY ALL)
-  SELECT line_id, round(x, 4) AS chainage_m, round(s[3] + (s[4] - s[3]) * CASE WHEN s[2] > s[1] THEN (x - s[1]) / (s[2] - s[1]) ELSE 0.0 END, 7) AS lat FROM b""")
+  SELECT line_id, CAST(floor(x / 100) AS BIGINT) AS stretch, count(*) AS points, CAST(sum(CAST(round(x * 1000) AS BIGINT)) AS BIGINT) AS chainage_mm,
+    CAST(sum(CAST(round((s[3] + (s[4] - s[3]) * CASE WHEN s[2] > s[1] THEN (x - s[1]) / (s[2] - s[1]) ELSE 0.0 END) * 1e6) AS BIGINT)) AS BIGINT) AS lat_micro FROM b GROUP BY ALL""")
 def _(spark, sf):
-    return L.track_points(V.anchors(spark, sf), 50.0).select("line_id", F.round("chainage_m", 4).alias("chainage_m"), F.round("lat", 7).alias("lat"))
+    # A point a metre: told by stretch of 100 m, so that millions of points need not be compared one by one.
+    t = L.track_points(V.anchors(spark, sf), P.TRACK_STEP_M)
+    whole = lambda c, k: F.sum(F.round(C(c) * k).cast("long"))
+    return t.groupBy("line_id", F.floor(C("chainage_m") / 100).alias("stretch")).agg(F.count("*").alias("points"), whole("chainage_m", 1000).alias("chainage_mm"), whole("lat", 1e6).alias("lat_micro"))
 
 
 @query("G06_line_source_choice", None)

@@ -21,6 +21,7 @@ CHUNK_SCHEMA = T.StructType([
     T.StructField("survey_id", T.StringType()), T.StructField("line_id", T.LongType()), T.StructField("channel", T.StringType()),
     T.StructField("trace_offset", T.IntegerType()), T.StructField("chunk_end", T.IntegerType()), T.StructField("line_complete", T.BooleanType()),
     T.StructField("arrived_at", T.TimestampType()), T.StructField("trace", T.IntegerType()), T.StructField("samples", T.ArrayType(T.DoubleType())),
+    T.StructField("dt", T.DoubleType()), T.StructField("spacing", T.DoubleType()),
 ])
 
 WINDOW_BOX_SCHEMA = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -38,3 +38,29 @@ def survey_states(runs: DataFrame) -> DataFrame:
     first = F.min(F.when(F.col("event") == "started", F.col("at")))
     ended = F.max(F.when(F.col("event").isin("completed", "failed"), F.col("event")))
     return runs.groupBy("run_id", "survey_id").agg(first.alias("started_at"), F.sum("input_rows").alias("input_rows"), F.coalesce(ended, F.lit("running")).alias("state"))
+
+
+GAP = "10 minutes"
+
+
+def line_sessions(chunks: DataFrame, gap: str = GAP) -> DataFrame:
+    """survey_id, line_id, channel, started_at, last_at, ends_at, n_traces, complete: stretches of a line without a silence of `gap`.
+
+    On a stream with a watermark on arrived_at, sessions come once they are closed; in a batch all of them do.
+    """
+    keys = ["survey_id", "line_id", "channel"]
+    of = chunks.groupBy(F.session_window("arrived_at", gap).alias("w"), *keys)
+    sessions = of.agg(F.max("arrived_at").alias("last_at"), F.count("*").alias("n_traces"), F.bool_or("line_complete").alias("complete"))
+    return sessions.select(*keys, F.col("w.start").alias("started_at"), "last_at", F.col("w.end").alias("ends_at"), "n_traces", "complete")
+
+
+def session_states(sessions: DataFrame, now: Column) -> DataFrame:
+    """With `state`: finished, or stalled once the silence after it is over, or running."""
+    state = F.when(F.col("complete"), "finished").when(F.col("ends_at") <= now, "stalled").otherwise("running")
+    return sessions.withColumn("state", state)
+
+
+def lifecycle_counts(states: DataFrame) -> DataFrame:
+    """Started, running, finished and stalled stretches of each survey."""
+    n = lambda s: F.count_if(F.col("state") == s).alias(s)
+    return states.groupBy("survey_id").agg(F.count("*").alias("started"), n("running"), n("finished"), n("stalled"), F.sum("n_traces").alias("n_traces"))

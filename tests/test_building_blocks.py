@@ -108,3 +108,50 @@ def test_geodesic_known_distances(spark):
     df = spark.createDataFrame([(0.0, 0.0, 0.0, 1.0), (0.0, 0.0, 1.0, 0.0), (12.9, 77.5, 12.9, 77.5)], "a double, b double, c double, d double")
     got = [r[0] for r in df.select(geodesic_m(*[F.col(c) for c in "abcd"])).collect()]
     assert got == pytest.approx([111319.491, 110574.389, 0.0], abs=0.01)
+
+
+def _clusters(spark, spots, min_samples):
+    from strata.operators import corroborate as K
+
+    df = spark.createDataFrame([(1, i, "RAD", p, d) for i, (p, d) in enumerate(spots)], "line_id long, apex_id long, channel string, position_m double, depth_m double")
+    got = {}
+    for r in K.clusters(df, min_samples).collect():
+        got.setdefault(tuple(r["cluster"]), set()).add(r["apex_id"])
+    return sorted(map(sorted, got.values()))
+
+
+def _plain_clusters(spots, min_samples):
+    """Core points chained by plain loops; borders are left to whichever cluster they touch first, so only cores are compared when there are any."""
+    near = [[j for j, (q, e) in enumerate(spots) if abs(p - q) <= 0.30 and abs(d - e) <= 0.35] for p, d in spots]
+    core = {i for i, n in enumerate(near) if len(n) >= min_samples}
+    left, out = set(core), []
+    while left:
+        todo, seen = [left.pop()], set()
+        while todo:
+            i = todo.pop()
+            seen.add(i)
+            todo += [j for j in near[i] if j in core and j not in seen and j not in todo]
+        left -= seen
+        out.append(sorted(seen))
+    return sorted(out), core
+
+
+def test_clusters_on_cells_equal_plain_loops(spark):
+    import random
+
+    for seed, step, min_samples in ((1, 0.0125, 2), (2, 0.05, 3), (3, 0.15, 4), (4, 0.1, 1)):
+        rng = random.Random(seed)
+        spots = [(round(rng.randrange(400) * step, 6), round(rng.randrange(40) * 0.05, 6)) for _ in range(140)]
+        want, core = _plain_clusters(spots, min_samples)
+        got = [sorted(set(c) & core) for c in _clusters(spark, spots, min_samples)]
+        assert sorted(got) == want
+
+
+def test_a_dense_line_makes_few_links(spark):
+    from strata.operators import corroborate as K
+
+    df = spark.range(4000).selectExpr("1L AS line_id", "id AS apex_id", "'RAD' AS channel", "(id % 997) * 0.003 AS position_m", "(id % 89) * 0.01 AS depth_m")
+    spots = K._in_cells(K.with_node_ids(K.places(df)))
+    core = spots.join(spots.groupBy("line_id", "cp", "cd").agg({"node": "min"}).withColumnRenamed("min(node)", "cell"), ["line_id", "cp", "cd"])
+    assert K._cell_links(core).count() < 300  # 4,000 places have over a million pairs within reach
+    assert K.clusters(df).select("cluster").distinct().count() == 1
