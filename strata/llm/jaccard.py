@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import exchange
+from strata.llm.memory import give_back
 from strata.llm.stage import stage
 from strata.llm.text import PLAIN, U64, mix, owners, pack, slices, unpack, word_windows
 from strata.operators.graph import connected_components
@@ -34,7 +35,8 @@ FRAGMENTS = 1 << FRAGMENT_BITS
 STAR_ROUNDS = 2
 HOPS = 4
 PRINT_BITS = 40  # of a hash, for frequencies: a clash only makes an n-gram look less rare
-SETS = "row long, order_ long, n long, high long, low long, suspect boolean, lonely double, prefix array<struct<gram: long, place: int>>, fragments array<binary>"
+SETS = "row long, order_ long, n long, high long, low long, suspect boolean, lonely double, prefix array<struct<gram: long, place: int>>, fragments array<array<long>>"
+HELD = 500_000  # n-grams of a task that wait to be told
 
 
 def distinct_grams(hashes: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,31 +94,42 @@ def gram_sets(docs: DataFrame, words: int, similar: Fraction) -> DataFrame:
                 prints.append(_prints(grams))
                 order.append(ids[part.first + owners(bounds)])
                 held += len(grams)
-                if held > 2_000_000:
+                if held > HELD:
                     yield told(prints, order)
                     prints, order, held = [], [], 0
         if held:
             yield told(prints, order)
+        give_back()
 
     def count(blobs: pa.Table) -> pa.Table:
         prints, order = exchange.untwo_all(blobs)
-        seen, index, counts = np.unique(prints, return_inverse=True, return_counts=True)
-        df = counts[index]
+        by = np.argsort(prints, kind="stable")
+        prints, order = prints[by], order[by]
+        first = np.flatnonzero(np.concatenate(([True], prints[1:] != prints[:-1]))) if len(prints) else np.zeros(0, np.int64)
+        often = np.diff(np.append(first, len(prints))).astype(np.int32)
+        df = np.repeat(often, often)
         keep = df > 1
+        prints, order, df = prints[keep], order[keep], df[keep]
         keys, out = [], []
-        for key, (p, o, d) in exchange.split_by(exchange.chunk_of(order[keep], n), prints[keep], order[keep], df[keep]):
-            by = np.argsort(p, kind="stable")
+        for key, (p, o, d) in exchange.split_by(exchange.chunk_of(order, n), prints, order, df):
             keys.append(key)
-            out.append(exchange.join_parts([pack(p[by], ascending=True), pack(o[by]), pack(d[by].astype(np.int64))]))
+            out.append(exchange.join_parts([pack(p, ascending=True), pack(o), pack(d)]))
+        give_back()
         return exchange.table_of(keys, out)
 
+    def frequencies(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of (document, n-gram) in ascending order, with the n-gram's document frequency."""
+        number, df = [np.zeros(0, U64)], [np.zeros(0, np.int32)]
+        for blob in answers["data"]:
+            p, o, d = exchange.split_parts(blob.as_py())
+            number.append(exchange.pairs(unpack(o, np.int64), unpack(p, U64, ascending=True)))
+            df.append(unpack(d, np.int32))
+        number, df = np.concatenate(number), np.concatenate(df)
+        by = np.argsort(number, kind="stable")
+        return number[by], df[by]
+
     def finish(frames: pa.Table, answers: pa.Table) -> pa.Table:
-        told_ = [exchange.split_parts(b) for b in answers["data"].to_pylist()]
-        prints = np.concatenate([unpack(x[0], U64, ascending=True) for x in told_] or [np.zeros(0, U64)])
-        order = np.concatenate([unpack(x[1], np.int64) for x in told_] or [np.zeros(0, np.int64)])
-        df = np.concatenate([unpack(x[2], np.int64) for x in told_] or [np.zeros(0, np.int64)])
-        number, first = np.unique(exchange.pairs(order, prints), return_index=True)
-        df = df[first]
+        number, df = frequencies(answers)
         out = []
         for table in exchange.thawed(frames):
             ids, rows_ = np.asarray(table["order_"]), np.asarray(table["row_"].combine_chunks().field("row"))
@@ -124,10 +137,11 @@ def gram_sets(docs: DataFrame, words: int, similar: Fraction) -> DataFrame:
                 grams, bounds = of(part)
                 wanted = exchange.pairs(ids[part.first + owners(bounds)], _prints(grams))
                 at = np.minimum(np.searchsorted(number, wanted), max(len(number) - 1, 0))
-                often = np.where(number[at] == wanted, df[at], 1) if len(number) else np.ones(len(grams), np.int64)
+                often = np.where(number[at] == wanted, df[at], 1) if len(number) else np.ones(len(grams), np.int32)
                 own = slice(part.first, part.first + part.rows)
                 out.append(_set_rows(rows_[own], ids[own], grams, bounds, often, similar))
-        return pa.concat_tables(out) if out else _SCHEMA.empty_table()
+        give_back()
+        return pa.Table.from_batches(out, _SCHEMA)
 
     answers = exchange.meet(rows.mapInArrow(emit, exchange.PACKED), count)
     return exchange.answer(rows, answers, n, finish, SETS)
@@ -135,50 +149,44 @@ def gram_sets(docs: DataFrame, words: int, similar: Fraction) -> DataFrame:
 
 _SCHEMA = pa.schema([
     ("row", pa.int64()), ("order_", pa.int64()), ("n", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("suspect", pa.bool_()), ("lonely", pa.float64()),
-    ("prefix", pa.list_(pa.struct([("gram", pa.int64()), ("place", pa.int32())]))), ("fragments", pa.list_(pa.binary())),
+    ("prefix", pa.list_(pa.struct([("gram", pa.int64()), ("place", pa.int32())]))), ("fragments", pa.list_(pa.list_(pa.int64()))),
 ])
 
 
-def _set_rows(rows: np.ndarray, ids: np.ndarray, grams: np.ndarray, bounds: np.ndarray, often: np.ndarray, similar: Fraction) -> pa.Table:
+def _cut(counts: np.ndarray) -> pa.Array:
+    """Offsets of lists of so many items."""
+    return pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+
+
+def _set_rows(rows: np.ndarray, ids: np.ndarray, grams: np.ndarray, bounds: np.ndarray, often: np.ndarray, similar: Fraction) -> pa.RecordBatch:
     n = np.diff(bounds)
     high, low = _set_key(grams, bounds)
     total = np.concatenate(([0], np.cumsum(often == 1)))
     alone = total[bounds[1:]] - total[bounds[:-1]]
     misses = allowed_misses(n, similar)
     suspect = (n > 0) & (alone <= misses)
-    prefix: list = []
-    fragments: list = []
-    for i in range(len(ids)):
-        if not suspect[i]:
-            prefix.append([])
-            fragments.append([])
-            continue
-        mine, count = grams[bounds[i] : bounds[i + 1]], often[bounds[i] : bounds[i + 1]]
-        by = np.lexsort((mine, count))[: misses[i] + 1]
-        place = np.arange(len(by))[count[by] > 1]
-        chosen = mine[by[place]].view(np.int64)
-        prefix.append([{"gram": g, "place": p} for g, p in zip(chosen.tolist(), place.tolist())])
-        cut = np.searchsorted(mine, (np.arange(1, FRAGMENTS, dtype=U64) << U64(64 - FRAGMENT_BITS)))
-        fragments.append([x.tobytes() for x in np.split(mine, cut)])
+    # From here on only the n-grams of documents that may link.
+    row = owners(bounds)
+    keep = suspect[row]
+    row, grams, often = row[keep], grams[keep], often[keep]
+    by = np.lexsort((grams, often, row))
+    place = np.arange(len(by)) - np.concatenate(([0], np.cumsum(np.where(suspect, n, 0))))[row]  # rows keep their order in `by`
+    chosen = (place <= misses[row]) & (often[by] > 1)
+    pairs = pa.StructArray.from_arrays([pa.array(grams[by][chosen].view(np.int64)), pa.array(place[chosen].astype(np.int32))], fields=list(_SCHEMA.field("prefix").type.value_type))
+    prefix = pa.ListArray.from_arrays(_cut(np.bincount(row[chosen], minlength=len(n))), pairs)
+    parts = np.bincount(row * FRAGMENTS + (grams >> U64(64 - FRAGMENT_BITS)).astype(np.int64), minlength=len(n) * FRAGMENTS)
+    parts = parts.reshape(-1, FRAGMENTS)[suspect].ravel()
+    fragments = pa.ListArray.from_arrays(_cut(np.where(suspect, FRAGMENTS, 0)), pa.ListArray.from_arrays(_cut(parts), pa.array(grams.view(np.int64))))
     columns = [rows, ids, n, high, low, suspect, alone / np.maximum(n, 1), prefix, fragments]
-    return pa.table([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
 
 
 def _overlaps(pairs: DataFrame, fragments: DataFrame, similar: Fraction) -> DataFrame:
     """Pairs (a, b, na, nb) that link: overlaps are counted for each fragment apart and summed."""
     left = fragments.select(C("node").alias("a"), "fragment", C("grams").alias("x"))
     right = fragments.select(C("node").alias("b"), "fragment", C("grams").alias("y"))
-    both = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", "x", "y")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shared = [
-                len(np.intersect1d(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64), assume_unique=True))
-                for x, y in zip(batch["x"], batch["y"])
-            ]
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], batch["na"], batch["nb"], pa.array(shared, pa.int64())], names=["a", "b", "na", "nb", "shared"])
-
-    counted = both.mapInArrow(count, "a long, b long, na long, nb long, shared long").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+    both = pairs.join(left, "a").join(right, ["b", "fragment"])
+    counted = both.groupBy("a", "b", "na", "nb").agg(F.sum(F.size(F.array_intersect("x", "y"))).alias("shared"))
     return counted.filter(C("shared") * similar.denominator >= (C("na") + C("nb") - C("shared")) * similar.numerator)
 
 
