@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
+from strata.llm.stage import stage
 from strata.llm.text import BYTE_VALUES, PLAIN, U64, owners, prefix_sums, slices, spans
 
 BUCKETS = 1 << 15
@@ -49,12 +50,17 @@ KINDS = 2 + len(NGRAMS)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) -> DataFrame:
-    """(text, label) of rows that may be learned from, at most `sample`, by a hash of their id."""
+    """(text, label) of rows that may be learned from, at most `sample`, by a hash of their id; of rows with one id that with the least text."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
-    ids = docs.filter(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(known, "doc_id")
-    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # `sample` ids at most, so every task can have them
+    ids = docs.filter(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("copies")).join(known, "doc_id")
+    chosen = stage(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # `sample` ids at most, so every task can have them
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    rows = texts.join(F.broadcast(chosen), "doc_id")
+    once = rows.filter("copies = 1").select("doc_id", "text", "y")
+    if chosen.filter("copies > 1").isEmpty():
+        return once
+    several = rows.filter("copies > 1").groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(b""))).alias("text"))
+    return once.unionByName(several)
 
 
 def held_out():
@@ -131,10 +137,11 @@ def train(table: pa.Table) -> Model:
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> DataFrame:
     """The columns of `docs` and held_out, score (0 to 1, higher: label 1 likelier) and predicted (score >= 0.5).
 
-    The model learns `labels` (doc_id, label 0 or 1) of rows that are not held out, at most `sample` of them, and sees
-    only text. Labels that are null or neither 0 nor 1 are left out; of several for one id the largest counts. Null and
+    The model learns `labels` (doc_id, label 0 or 1) of rows that are not held out, at most `sample` of them, one for each id,
+    and sees only text. Labels that are null or neither 0 nor 1 are left out; of several for one id the largest counts. Null and
     empty texts get the score of the bias alone. Without a labelled row of both kinds the score is a constant. Rows without
-    id are held out, repeated rows score alike, and a column of `docs` with a result's name is replaced.
+    id are held out, repeated rows score alike, and a column of `docs` with a result's name is replaced. Texts of any
+    length are read whole, about FEATURE_BYTES at a time. No rows give no rows.
     """
     named = docs.select([f"`{c}`" for c in docs.columns if c not in ("held_out", "score", "predicted")])
     model = train(bags(labelled_sample(docs, labels, label, sample)).toArrow())

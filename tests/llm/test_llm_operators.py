@@ -204,6 +204,14 @@ def test_quality(spark, none):
     assert {r.score for r in quality.quality_digest(frame(spark, rows[:4]), labels.limit(0)).collect()} == {0.5}
 
 
+def test_the_sample_bounds_rows_not_only_ids(spark):
+    docs = spark.range(3000).selectExpr("CAST(3 AS BIGINT) AS doc_id", "concat('text ', id) AS text").union(spark.range(40).selectExpr("id + 10", "concat('other ', id)"))
+    labels = spark.range(60).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    rows = quality.labelled_sample(docs, labels, "quality", 20).collect()
+    assert len(rows) <= 20 and len({r.doc_id for r in rows}) == len(rows)
+    assert all(bytes(r.text) == b"text 0" for r in rows if r.doc_id == 3)
+
+
 def test_language(spark, none):
     rng = random.Random(2)
     speech = {"xx": ["tharo", "mingu", "sela", "orka"], "yy": ["ziut", "wexo", "quib", "jyf"]}
