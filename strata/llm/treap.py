@@ -45,14 +45,14 @@ class Treap:
     def __init__(self, height: int, bits: list[np.ndarray], maxima: list[np.ndarray]):
         """bits[k], maxima[k]: of level k, of which 0 is the whole grid; bits[k] says which children of its cells are on level k + 1."""
         self.height, self.bits, self.maxima = height, bits, maxima
-        self.child = [np.where(b, np.cumsum(b) - 1, -1).astype(np.int32) for b in bits]
+        self.child = [np.where(b, np.cumsum(b, dtype=np.int32) - np.int32(1), np.int32(-1)) for b in bits]
 
     @classmethod
     def of(cls, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, height: int) -> Treap:
         """From its filled cells, each named once."""
         code = _spread(rows.astype(U64)) << U64(1) | _spread(columns.astype(U64))
         by = np.argsort(code)
-        code, top = code[by], values[by].astype(np.int64)
+        code, top = code[by], values[by].astype(np.int32)
         bits, maxima = [], [top]
         for _ in range(height):
             parent = code >> U64(2)
@@ -67,28 +67,28 @@ class Treap:
         return cls(height, bits[::-1], maxima[::-1])
 
     def packed(self) -> bytes:
-        parts = [pack(self.maxima[0])]
+        parts = [pack(self.maxima[0].astype(np.int32))]
         for k, which in enumerate(self.bits):
             parent = np.repeat(np.arange(len(which) // 4), which.reshape(-1, 4).sum(1))
-            parts += [pack(np.packbits(which)), pack((self.maxima[k][parent] - self.maxima[k + 1]).astype(np.uint32))]
+            parts += [pack(np.packbits(which)), pack(self.maxima[k][parent] - self.maxima[k + 1])]
         return exchange.join_parts([self.height.to_bytes(1, "little"), *parts])
 
     @classmethod
     def unpacked(cls, blob: bytes) -> Treap:
         height, root, *parts = exchange.split_parts(blob)
-        maxima, bits = [unpack(root, np.int64)], []
+        maxima, bits = [unpack(root, np.int32)], []
         for flags, less in zip(parts[::2], parts[1::2]):
             which = np.unpackbits(unpack(flags, np.uint8), count=4 * len(maxima[-1])).astype(bool)
             parent = np.repeat(np.arange(len(which) // 4), which.reshape(-1, 4).sum(1))
             bits.append(which)
-            maxima.append(maxima[-1][parent] - unpack(less, np.uint32))
+            maxima.append(maxima[-1][parent] - unpack(less, np.int32))
         return cls(height[0], bits, maxima)
 
     def best(self, rows: np.ndarray, weights: np.ndarray, order: np.ndarray, k: int, found: list[tuple[int, int]]) -> None:
         """Put (score, -order) of the columns with the largest sums of weight * cell over the rows into `found`, a heap of the k best; sums of 0 are none."""
         width = max(1, min(WIDTH, 2_000_000 // max(len(rows), 1)))
         least = lambda: max(1, found[0][0]) if len(found) == k else 1
-        bound = np.array([int((self.maxima[0] * weights).sum()) if len(self.maxima[0]) else 0])
+        bound = np.array([int(self.maxima[0][0]) * int(weights.sum()) if len(self.maxima[0]) else 0])
         todo, made = [(-int(bound[0]), 0, 0, np.zeros(1, np.int64), np.zeros((1, len(rows)), np.int64), bound)], 1
         while todo and -todo[0][0] >= least():
             _, _, level, column, at, bound = heapq.heappop(todo)
@@ -106,7 +106,7 @@ class Treap:
             halves = []
             for right in (0, 1):
                 to = np.where(at >= 0, child[np.maximum(4 * at + low + right, 0)], -1)
-                halves.append((2 * column + right, to, np.where(to >= 0, top[to], 0) @ weights))
+                halves.append((2 * column + right, to, np.where(to >= 0, top[to], 0).astype(np.int64) @ weights))
             column, at, bound = (np.concatenate(x) for x in zip(*halves))
             by = np.flatnonzero(bound >= least())
             by = by[np.argsort(-bound[by], kind="stable")]
