@@ -38,58 +38,91 @@ def draw_triples(n: int, draws: int) -> np.ndarray:
     return np.stack([i, j, k], axis=1)[(j != k)]
 
 
-def solve_quadratics(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Coefficients (a, b, c) of y = a + b x + c x^2 through three points each, by divided differences."""
-    d1 = (y[:, 1] - y[:, 0]) / (x[:, 1] - x[:, 0])
-    d2 = (y[:, 2] - y[:, 1]) / (x[:, 2] - x[:, 1])
-    c = (d2 - d1) / (x[:, 2] - x[:, 0])
-    b = d1 - c * (x[:, 0] + x[:, 1])
-    return y[:, 0] - x[:, 0] * (b + c * x[:, 0]), b, c
+def parabolas(x: np.ndarray, y: np.ndarray, triples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lowest place, lowest value, curvature) of the parabolas through three points each: (boxes, triples) arrays.
+
+    By divided differences; curvature 0 stands for one that opens downward or has its lowest value below 0.
+    """
+    (p, q, r), (u, v, w) = (tuple(z[:, triples[:, k]] for k in range(3)) for z in (x, y))
+    rise = (v - u) / (q - p)
+    bend = ((w - v) / (r - q) - rise) / (r - p)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = 0.5 * (p + q - rise / bend)
+        low = u - bend * (p - at) ** 2
+    bowl = (bend > 1e-9) & (low >= 0)
+    return np.where(bowl, at, 0.0), np.where(bowl, low, 0.0), np.where(bowl, bend, 0.0)
+
+
+def least_squares(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of the parabola of least squares through each row's weighted points, from the rows' moments."""
+    n = weight.sum(axis=1)
+    centre = (weight * x).sum(axis=1) / n
+    width = np.sqrt((weight * (x - centre[:, None]) ** 2).sum(axis=1) / n)
+    z = (x - centre[:, None]) / width[:, None]
+    powers = weight * z[None] ** np.arange(5)[:, None, None]
+    moments = powers.sum(axis=2)
+    grid = np.moveaxis(moments[np.add.outer(np.arange(3), np.arange(3))], 2, 0)
+    level, slope, bend = np.linalg.solve(grid, (powers[:3] * y).sum(axis=2).T[..., None])[..., 0].T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at, low = centre - width * slope / (2 * bend), level - slope**2 / (4 * bend)
+    return at, low, bend / width**2
+
+
+def fit_boxes(x: np.ndarray, t: np.ndarray, draws: int = P.RANSAC_DRAWS) -> np.ndarray:
+    """(boxes, 5): x0, t0, k, r2, inliers of t = sqrt(t0^2 + ((x - x0) / k)^2) for boxes of equally many points; nan where there is none.
+
+    Squared times make the hyperbola a parabola. The same triples of points are tried in all boxes at once; the parabola
+    that passes closest to the most points is fitted again through those.
+    """
+    boxes, n = x.shape
+    none = np.full((boxes, 5), np.nan)
+    needed = max(P.RANSAC_MIN_INLIERS, int(np.ceil(P.RANSAC_MIN_FRACTION * n)))
+    if n < P.RANSAC_MIN_INLIERS:
+        return none  # too few points to ever reach the smallest consensus
+    by = np.argsort(x, axis=1, kind="stable")
+    x, t = np.take_along_axis(x, by, 1), np.take_along_axis(t, by, 1)
+    middle = x.mean(axis=1)
+    x = x - middle[:, None]
+    at, low, bend = parabolas(x, t * t, draw_triples(n, draws))
+    near = lambda at, low, bend: np.abs(t - np.sqrt(low + bend * (x - at) ** 2)) < P.RANSAC_RESIDUAL_SAMPLES
+    curves = np.sqrt(low[..., None] + bend[..., None] * (x[:, None] - at[..., None]) ** 2)
+    votes = np.where(bend > 0, (np.abs(t[:, None] - curves) < P.RANSAC_RESIDUAL_SAMPLES).sum(axis=2), -1)
+    best = votes.argmax(axis=1)[:, None]
+    found = np.take_along_axis(votes, best, 1)[:, 0] >= needed
+    if not found.any():
+        return none
+    weight = near(*(np.take_along_axis(z, best, 1) for z in (at, low, bend)))[found].astype(float)
+    x, t, middle, count = x[found], t[found], middle[found], weight.sum(axis=1)
+    at, low, bend = least_squares(x, t * t, weight)
+    real = (bend > 1e-9) & (low >= 0)
+    at, low, bend = (np.where(real, z, 1.0) for z in (at, low, bend))
+    left = weight * (t - np.sqrt(low[:, None] + bend[:, None] * (x - at[:, None]) ** 2)) ** 2
+    spread = (weight * (t - ((weight * t).sum(axis=1) / count)[:, None]) ** 2).sum(axis=1)
+    r2 = np.where(spread > 0, 1 - left.sum(axis=1) / np.where(spread > 0, spread, 1), 0.0)
+    none[found] = np.where(real[:, None], np.stack([middle + at, np.sqrt(low), 1 / np.sqrt(bend), r2, count], axis=1), np.nan)
+    return none
 
 
 def fit_points(xs: np.ndarray, ts: np.ndarray, draws: int = P.RANSAC_DRAWS) -> tuple[float, float, float, float, int] | None:
-    """(x0, t0, k, r2, inliers) of t = sqrt(t0^2 + ((x - x0) / k)^2), or None when no hyperbola is there."""
-    n = len(xs)
-    if n < P.RANSAC_MIN_INLIERS:
-        return None  # too few points to ever reach the smallest consensus
-    order = np.argsort(xs, kind="stable")
-    mid = float(xs.mean())
-    x, t = xs[order] - mid, ts[order]
-    needed = max(P.RANSAC_MIN_INLIERS, int(np.ceil(P.RANSAC_MIN_FRACTION * n)))
-    idx = draw_triples(n, draws)
-    a, b, c = solve_quadratics(x[idx], t[idx] ** 2)
-    good = c > 1e-9
-    c = np.where(good, c, 1.0)
-    apex, floor = -b / (2 * c), a - b * b / (4 * c)
-    good &= floor >= 0
-    curve = np.sqrt(np.where(good, floor, 0.0)[:, None] + c[:, None] * (x[None, :] - apex[:, None]) ** 2)
-    close = np.abs(t[None, :] - curve) < P.RANSAC_RESIDUAL_SAMPLES
-    votes = np.where(good, close.sum(axis=1), -1)
-    best = int(np.argmax(votes))
-    if votes[best] < needed:
-        return None
-    xi, ti = x[close[best]], t[close[best]]
-    design = np.stack([np.ones_like(xi), xi, xi * xi], axis=1)
-    (a, b, c), *_ = np.linalg.lstsq(design, ti * ti, rcond=None)
-    floor = a - b * b / (4 * c) if c > 1e-9 else -1.0
-    if floor < 0:
-        return None
-    x0 = -b / (2 * c)
-    residual = ti - np.sqrt(floor + c * (xi - x0) ** 2)
-    spread = float(np.sum((ti - ti.mean()) ** 2))
-    r2 = 1 - float(np.sum(residual**2)) / spread if spread > 0 else 0.0
-    return mid + x0, float(np.sqrt(floor)), float(1 / np.sqrt(c)), r2, int(votes[best])
+    """`fit_boxes` of one box, or None when no hyperbola is there."""
+    *values, inliers = fit_boxes(np.asarray(xs, float)[None], np.asarray(ts, float)[None], draws)[0]
+    return None if np.isnan(inliers) else (*map(float, values), int(inliers))
 
 
 FIT = "struct<x0:double,t0:double,k:double,r2:double,n_inliers:int,n_total:int>"
+TOGETHER = 4_000_000  # distances of points to trial curves that are held at once
 
 
 def _fit_batch(xs: pd.Series, ts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for x, t in zip(xs, ts):
-        f = fit_points(np.asarray(x, float), np.asarray(t, float))
-        rows.append((None,) * 5 + (len(x),) if f is None else (*f, len(x)))
-    return pd.DataFrame(rows, columns=["x0", "t0", "k", "r2", "n_inliers", "n_total"]).astype({"n_inliers": "Int32", "n_total": "Int32"})
+    sizes = xs.map(len).to_numpy()
+    out = np.full((len(xs), 5), np.nan)
+    for n in np.unique(sizes):
+        alike = np.flatnonzero(sizes == n)
+        step = max(1, min(64, TOGETHER // (P.RANSAC_DRAWS * max(n, 1))))
+        for some in np.split(alike, range(step, len(alike), step)):
+            out[some] = fit_boxes(*(np.stack([np.asarray(v, float) for v in z.iloc[some]]) for z in (xs, ts)))
+    fits = pd.DataFrame(out, columns=["x0", "t0", "k", "r2", "n_inliers"])
+    return fits.assign(n_inliers=fits["n_inliers"].astype("Int32"), n_total=pd.array(sizes, "Int32"))
 
 
 def fit_hyperbolas(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -159,23 +192,21 @@ def neighbourhood(traces: DataFrame, apexes: DataFrame, half: int, payload: list
     return got.groupBy(*LINE, "apex_id", "apex_trace", "dt", "spacing", *payload).agg(F.array_sort(F.collect_list(F.struct("trace", "samples"))).alias("near"))
 
 
-def semblance_of(block: np.ndarray, xs: np.ndarray, apex_trace: int, apex_sample: int, spacing: float, dt: float) -> list[float]:
-    n = block.shape[0]
-    w = np.arange(-P.SEMBLANCE_WINDOW, P.SEMBLANCE_WINDOW + 1)
-    lateral = np.abs(xs - apex_trace) * spacing
-    out = []
-    for eps in SEMBLANCE_EPS:
-        v = P.SPEED_OF_LIGHT_M_PER_NS / np.sqrt(eps)
-        rows = np.rint(np.sqrt(apex_sample**2 + (2 * lateral / v / dt) ** 2)).astype(int)[:, None] + w
-        whole = ((rows >= 0) & (rows < n)).all(axis=1)
-        count = int(whole.sum())
-        if count < P.SEMBLANCE_MIN_TRACES:
-            out.append(0.0)
-            continue
-        a = block[rows[whole], np.flatnonzero(whole)[:, None]]
-        power = count * float((a * a).sum())
-        out.append(float((a.sum(axis=0) ** 2).sum()) / power if power > 0 else 0.0)
-    return out
+def semblance_of(block: np.ndarray, away_m: np.ndarray, apex_sample: int, dt: float) -> np.ndarray:
+    """Of every trial permittivity: the energy of the traces' sum along its curve, over the traces' own energy times their number.
+
+    `block` is (samples, traces). All trials are taken at once, as (trial, trace, sample of the window) arrays; a trace whose
+    window would leave the record is left out of a trial, and a trial with too few traces is worth nothing.
+    """
+    speed = P.SPEED_OF_LIGHT_M_PER_NS / np.sqrt(SEMBLANCE_EPS)
+    depth = np.rint(np.sqrt(float(apex_sample) ** 2 + (2 * away_m[None] / speed[:, None] / dt) ** 2)).astype(int)
+    inside = (depth >= P.SEMBLANCE_WINDOW) & (depth + P.SEMBLANCE_WINDOW < len(block))
+    windows = np.lib.stride_tricks.sliding_window_view(block, 2 * P.SEMBLANCE_WINDOW + 1, axis=0)
+    held = windows[np.where(inside, depth - P.SEMBLANCE_WINDOW, 0), np.arange(block.shape[1])[None]] * inside[..., None]
+    traces = inside.sum(axis=1)
+    own = traces * (held**2).sum(axis=(1, 2))
+    together = (held.sum(axis=1) ** 2).sum(axis=1)
+    return np.divide(together, own, out=np.zeros(len(own)), where=(traces >= P.SEMBLANCE_MIN_TRACES) & (own > 0))
 
 
 def semblance_curves(traces: DataFrame, apexes: DataFrame) -> DataFrame:
@@ -185,9 +216,8 @@ def semblance_curves(traces: DataFrame, apexes: DataFrame) -> DataFrame:
     def run(near: pd.Series, apex: pd.Series, sample: pd.Series, spacing: pd.Series, dt: pd.Series) -> pd.Series:
         out = []
         for group, a, s, sp, d in zip(near, apex, sample, spacing, dt):
-            xs = np.array([g["trace"] for g in group])
-            block = np.stack([g["samples"] for g in group]).T
-            out.append(semblance_of(block, xs, a, s, sp, d))
+            away = np.abs(np.array([g["trace"] for g in group]) - a) * sp
+            out.append(semblance_of(np.stack([g["samples"] for g in group]).T, away, s, d))
         return pd.Series(out)
 
     n = neighbourhood(traces, apexes, P.SEMBLANCE_HALF_WIDTH, ["sample"])
@@ -217,17 +247,36 @@ def stacked_permittivity(curves: DataFrame, keys: list[str]) -> DataFrame:
 SWEEP = [float(v) for v in np.linspace(*P.SWEEP_RANGE, P.SWEEP_STEPS)]
 
 
-def focusing_of(block: np.ndarray, first: int, apex_trace: int, apex_sample: int, spacing: float, dt: float, half_height: int, aperture: int) -> list[float]:
-    col = apex_trace - first
-    n = block.shape[0]
-    rows, cols = slice(max(0, apex_sample - 3), min(n, apex_sample + 4)), slice(max(0, col - 3), col + 4)
-    around = slice(max(0, apex_sample - half_height), min(n, apex_sample + half_height + 1))
-    out = []
-    for v in SWEEP:
-        m = R.migrate_block(block, spacing, dt, v, min(aperture, max(1, block.shape[1] - 1)))
-        rms = float(np.sqrt(np.mean(m[around] ** 2)))
-        out.append(float(np.abs(m[rows, cols]).max()) / rms if rms > 0 else 0.0)
-    return out
+def migrated_at(block: np.ndarray, spacing: float, dt: float, velocities: np.ndarray, aperture: int) -> np.ndarray:
+    """(velocities, samples, traces): the block migrated at every velocity, by sideways distance, all velocities together.
+
+    What a column's weights add up to depends only on how far the block reaches to its left and right.
+    """
+    n, width = block.shape
+    reach = min(aperture, width - 1)
+    t, away = np.arange(n) * dt, np.arange(reach + 1)
+    travel = np.sqrt(t**2 + ((2.0 * away[:, None] * spacing / velocities) ** 2)[..., None])
+    row = np.rint(travel / dt).astype(int)
+    weight = np.divide(t, travel, out=np.zeros_like(travel), where=(travel > 0) & (row < n))
+    row = np.minimum(row, n - 1)
+    total = block[row[0]] * weight[0][..., None]
+    for k in away[1:]:
+        echo = block[row[k]] * weight[k][..., None]
+        total[..., : width - k] += echo[..., k:]
+        total[..., k:] += echo[..., : width - k]
+    to_side = np.cumsum(weight, axis=0)
+    left = np.minimum(np.arange(width), reach)
+    weights = to_side[left] + to_side[left[::-1]] - weight[0]
+    return total / np.maximum(np.moveaxis(weights, 0, 2), 1e-12)
+
+
+def focus_at(block: np.ndarray, column: int, sample: int, spacing: float, dt: float, half_height: int, aperture: int) -> np.ndarray:
+    """How far each trial velocity of SWEEP makes the apex stand out: its peak over the mean level around it."""
+    images = migrated_at(block, spacing, dt, np.array(SWEEP), aperture)
+    band = images[:, max(0, sample - half_height) : sample + half_height + 1]
+    level = np.sqrt((band**2).mean(axis=(1, 2)))
+    peak = np.abs(images[:, max(0, sample - 3) : sample + 4, max(0, column - 3) : column + 4]).max(axis=(1, 2))
+    return np.divide(peak, level, out=np.zeros(len(level)), where=level > 0)
 
 
 def focusing_sweep(traces: DataFrame, apexes: DataFrame, half_width: int = 60, half_height: int = 40, aperture: int = 60) -> DataFrame:
@@ -238,7 +287,7 @@ def focusing_sweep(traces: DataFrame, apexes: DataFrame, half_width: int = 60, h
         out = []
         for group, a, s, sp, d in zip(near, apex, sample, spacing, dt):
             block = np.stack([g["samples"] for g in group]).T
-            out.append(focusing_of(block, int(group[0]["trace"]), a, s, sp, d, half_height, aperture))
+            out.append(focus_at(block, a - int(group[0]["trace"]), s, sp, d, half_height, aperture))
         return pd.Series(out)
 
     n = neighbourhood(traces, apexes, half_width, ["sample"])

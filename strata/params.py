@@ -71,6 +71,7 @@ SWEEP_RANGE, SWEEP_STEPS, FLAT_PEAK_RATIO = (0.03, 0.15), 49, 3.0
 # Class refinement
 ROW_MIN_POINTS, ROW_SPACING_CV, ROW_DEPTH_FRACTION, CROWD_FRACTION = 3, 0.25, 0.10, 0.15
 COHERENT_ECHO_FRACTION, MAIN_LOBE_FRACTION = 0.25, 0.5
+POLARITY_HALF_TRACES, POLARITY_WINDOW_NS, MIN_POLARITY_NS = 3, (1.0, 1.5), 2.5
 
 # Site map
 PICK_POSITION_ERROR_M, DEPTH_RELATIVE_ERROR, FITTED_RELATIVE_ERROR, DEPTH_FLOOR_ERROR_M = 0.05, 0.15, 0.05, 0.04
@@ -79,6 +80,7 @@ RUN_STRAIGHTNESS_M, RUN_MIN_CROSSING_DEG = 0.3, 30.0
 FAMILY_ANGLE_DEG, LINE_EDGE_M, MIN_FIXES = 30.0, 0.3, 5
 TRACK_STEP_M = 1.0  # about, between the points of a line's track
 CHANCE_DRAWS, CHANCE_P_MAX = 30, 0.05
+CHANCE_VERDICTS = ("runs beat chance on this site", "unconfirmed: runs here are no more common than chance")
 TARGETS_PER_LINE, ARCHES_PER_LINE = 10, 8
 M_PER_DEG_LAT, M_PER_DEG_LON_EQUATOR = 110_574.0, 111_320.0
 WGS84_A, WGS84_E2, WGS84_F = 6_378_137.0, 0.00669437999014, 1 / 298.257223563

@@ -385,19 +385,31 @@ def _(spark, sf):
     return T.focusing_sweep(t, arch_apexes(spark, sf)).select(*LINE, "apex_id", r("velocity", "velocity"), r("peak_ratio", "peak_ratio"), "well_constrained")
 
 
-@query("D16_hyperbola_response", """
-  WITH o AS (SELECT CAST(d AS INTEGER) AS d FROM range(-8, 9, 2) AS q(d)), la AS (SELECT line_id, channel, max(trace) AS last FROM samples GROUP BY ALL),
+_ARCH = """o AS (SELECT CAST(d AS INTEGER) AS d FROM range(-8, 9, 2) AS q(d)), la AS (SELECT line_id, channel, max(trace) AS last FROM samples GROUP BY ALL),
   cv AS (SELECT s.line_id, s.channel, s.trace, s.sample, quantile_cont(c.amp, 0.3) AS a, quantile_cont(f.amp, 0.3) AS b FROM samples s JOIN la USING (line_id, channel), o,
      samples c, samples f WHERE c.line_id = s.line_id AND c.channel = s.channel AND c.trace = least(greatest(s.trace + d, 0), last) AND c.sample = least(63, CAST(round_even(sqrt(s.sample * 0.05 * (s.sample * 0.05) + d * 0.1 * (d * 0.1)) / 0.05, 0) AS INTEGER))
-       AND f.line_id = s.line_id AND f.channel = s.channel AND f.trace = c.trace AND f.sample = s.sample GROUP BY ALL)
-  SELECT line_id, channel, trace, sample, CASE WHEN sample < 5 THEN 0.0 ELSE round(a - b, 6) + 0.0 END AS response FROM cv""")
+       AND f.line_id = s.line_id AND f.channel = s.channel AND f.trace = c.trace AND f.sample = s.sample GROUP BY ALL),
+  ar AS MATERIALIZED (SELECT line_id, channel, trace, sample, CASE WHEN sample < 5 THEN 0.0 ELSE round(a - b, 6) + 0.0 END AS response FROM cv)"""
+
+
+def arch_samples(spark, sf):
+    return R.samples_of(D.arch_response(V.traces(spark, sf), 0.1, 0.05), "v").select(*LINE, "trace", "sample", r("v", "response"))
+
+
+@query("D16_hyperbola_response", f"WITH {_ARCH} SELECT line_id, channel, trace, sample, response FROM ar")
 def _(spark, sf):
-    return R.samples_of(D.hyperbola_response(V.traces(spark, sf), 0.1, 0.05), "v").select(*LINE, "trace", "sample", r("v", "response"))
+    return arch_samples(spark, sf)
 
 
-@query("K03_strongest_apart", None)
+@query("K03_strongest_apart", f"""WITH RECURSIVE {_ARCH},
+  pk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY line_id, channel ORDER BY response DESC, sample, trace) AS rk FROM ar WHERE response > 0),
+  st AS (SELECT DISTINCT line_id, channel, CAST(0 AS BIGINT) AS rk, CAST([] AS STRUCT(c INTEGER, r INTEGER, v DOUBLE)[]) AS kept FROM pk UNION ALL
+    SELECT st.line_id, st.channel, p.rk, CASE WHEN len(list_filter(kept, lambda q: pow(q.c - p.trace, 2) + pow(q.r - p.sample, 2) <= 25)) > 0 THEN kept
+      ELSE list_append(kept, CAST({{'c': p.trace, 'r': p.sample, 'v': p.response}} AS STRUCT(c INTEGER, r INTEGER, v DOUBLE))) END FROM st JOIN pk p ON p.line_id = st.line_id AND p.channel = st.channel AND p.rk = st.rk + 1 WHERE len(kept) < 10),
+  fi AS (SELECT line_id, channel, arg_max(kept, rk) AS kept FROM st GROUP BY line_id, channel), ex AS (SELECT line_id, channel, unnest(range(1, len(kept) + 1)) AS rank, unnest(kept) AS q FROM fi)
+  SELECT line_id, channel, CAST(rank AS INTEGER) AS rank, q.c AS col, q.r AS row, q.v AS response FROM ex""")
 def _(spark, sf):
-    resp = R.samples_of(D.hyperbola_response(V.traces(spark, sf), 0.1, 0.05), "response").withColumnRenamed("trace", "col").withColumnRenamed("sample", "row")
+    resp = arch_samples(spark, sf).withColumnRenamed("trace", "col").withColumnRenamed("sample", "row")
     return D.strongest_apart(resp, LINE, 5.0, 10).select(*LINE, "rank", "col", "row", r("response", "response"))
 
 

@@ -27,9 +27,11 @@ _LINES = r"""dw AS (SELECT *, TRY_CAST(nullif(regexp_extract(text, '^Depth=(\d+\
   nu AS (SELECT drawing, word_id, x0, x1, top, bottom, CAST(regexp_extract(text, '^(\d+\.\d+)m$', 1) AS DOUBLE) AS value FROM draw_words WHERE regexp_matches(text, '^\d+\.\d+m$')),
   nn AS (SELECT d.drawing, d.word_id, arg_min(n.value, n.word_id) AS value, arg_min(n.x1, n.word_id) AS nx1, arg_min(n.bottom, n.word_id) AS nb FROM dw d JOIN nu n ON n.drawing = d.drawing AND abs(n.top - d.top) <= 1.5 AND n.x0 - d.x1 BETWEEN 0 AND 15 WHERE d.glued IS NULL GROUP BY ALL),
   dl AS (SELECT d.drawing, d.word_id AS line_id, d.x0, coalesce(nx1, d.x1) AS x1, d.top, greatest(d.bottom, coalesce(nb, d.bottom)) AS bottom, coalesce(glued, nn.value) AS value FROM dw d LEFT JOIN nn ON nn.drawing = d.drawing AND nn.word_id = d.word_id)"""
-_NAMES = """fs AS (SELECT a.drawing, a.word_id, min(b.word_id) AS second, arg_min(b.x1, b.word_id) AS bx1 FROM draw_words a JOIN draw_words b ON a.drawing = b.drawing AND a.text = 'STORM' AND b.text = 'WATER' AND abs(b.top - a.top) <= 1.5 AND b.x0 - a.x1 BETWEEN 0 AND 6 GROUP BY ALL),
-  un AS (SELECT w.drawing, w.word_id, 'STORM WATER' AS utility, w.x0, bx1 AS x1, w.top FROM draw_words w JOIN fs ON fs.drawing = w.drawing AND fs.word_id = w.word_id
-    UNION ALL SELECT drawing, word_id, text, x0, x1, top FROM draw_words w WHERE text IN ('ELECTRIC', 'WATER', 'SEWER', 'DRAIN', 'UC', 'OFC', 'METALLIC', 'GAS', 'TELECOM') AND NOT EXISTS (SELECT 1 FROM fs WHERE fs.drawing = w.drawing AND fs.second = w.word_id))"""
+_NAMES = """nw AS MATERIALIZED (SELECT drawing, word_id, text, x0, x1, top FROM draw_words WHERE text IN ('STORM', 'ELECTRIC', 'WATER', 'SEWER', 'DRAIN', 'UC', 'OFC', 'METALLIC', 'GAS', 'TELECOM')),
+  st AS MATERIALIZED (SELECT * FROM nw WHERE text = 'STORM'), wa AS MATERIALIZED (SELECT * FROM nw WHERE text = 'WATER'),
+  fs AS MATERIALIZED (SELECT a.drawing, a.word_id, min(b.word_id) AS second, arg_min(b.x1, b.word_id) AS bx1 FROM st a JOIN wa b ON a.drawing = b.drawing AND abs(b.top - a.top) <= 1.5 AND b.x0 - a.x1 BETWEEN 0 AND 6 GROUP BY ALL),
+  un AS (SELECT w.drawing, w.word_id, 'STORM WATER' AS utility, w.x0, bx1 AS x1, w.top FROM st w JOIN fs ON fs.drawing = w.drawing AND fs.word_id = w.word_id
+    UNION ALL SELECT drawing, word_id, text, x0, x1, top FROM nw w WHERE text <> 'STORM' AND NOT EXISTS (SELECT 1 FROM fs WHERE fs.drawing = w.drawing AND fs.second = w.word_id))"""
 
 
 @query("J12_depth_lines", f"WITH {_LINES} SELECT drawing, line_id, x1, value FROM dl")

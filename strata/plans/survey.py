@@ -8,9 +8,11 @@ from strata import params as P
 from strata.operators import decisions as D
 from strata.operators import placement as L
 from strata.operators import site as S
+from strata.operators import sitemap as T
 from strata.operators.findings import latest_per_key
 from strata.plans import views as V
 from strata.plans.registry import query
+from strata.sources import export
 
 C = F.col
 
@@ -199,6 +201,31 @@ def _(spark, sf):
     return S.site_targets(t, lines, where).select("line_id", "target_id", F.round("lat", 9).alias("lat"), r("depth_m", "depth_m"), r("depth_error_m", "depth_error_m"), F.round("horizontal_error_m", 5).alias("horizontal_error_m"))
 
 
+def site_map(spark, sf):
+    """Lines of 200 traces; fixes, headers and human picks by rule."""
+    vec = C("vec_id")
+    t = V.table(spark, sf, "embeddings").select(
+        F.floor(vec / 600).alias("line_id"), F.when(vec % 3 == 0, "RAD").when(vec % 3 == 1, "RA1").otherwise("RA2").alias("channel"), F.floor((vec % 600) / 3).cast("int").alias("trace"), F.lit(0.2).alias("dt"), F.lit(0.025).alias("spacing"),
+        C("embedding").cast("array<double>").alias("samples"))
+    line = t.select("line_id").distinct()
+    fixes = line.withColumn("trace", F.explode(F.sequence(F.lit(0), F.lit(200), F.lit(20)))).select("line_id", "trace", (12.9 + C("line_id") * 0.0001 + C("trace") * 2e-7).alias("lat"), (77.5 + C("trace") * 1e-7).alias("lon"))
+    headers = t.select("line_id", "channel").distinct().withColumn("dielectric", F.when(C("line_id") % 2 == 0, 9.0).otherwise(0.0))
+    human = line.select("line_id", C("line_id").alias("pick_id"), F.lit(50).alias("trace"), F.lit(6.0).alias("time_ns"), F.lit(0.6).alias("depth_m"), F.lit("RAD").alias("channel"))
+    return T.targets_from_traces(t, headers, fixes, 0.025, human)
+
+
+@query("G01_targets_from_traces", None)
+def _(spark, sf):
+    t = site_map(spark, sf)
+    return t.select("line_id", "target_id", "status", r("trace", "trace"), r("time_ns", "time_ns"), F.round("lat", 9).alias("lat"), r("depth_m", "depth_m"), r("depth_error_m", "depth_error_m"), "depth_basis", "channels", "contrast", "near_surface")
+
+
+@query("C16_target_export", None)
+def _(spark, sf):
+    t = site_map(spark, sf).withColumn("id", C("target_id").cast("string")).withColumn("line", C("line_id").cast("string")).withColumn("reading", F.lit(None).cast("string"))
+    return export.target_export(t)
+
+
 @query("U03_new_proposals", """
   WITH p AS (SELECT job, target_id, lower(trim(identity)) AS idn FROM reviews WHERE status <> 'confirmed'), w AS (SELECT job, target_id, lower(trim(identity)) AS idn FROM reviews WHERE status = 'proposed')
   SELECT DISTINCT job, target_id, idn AS identity FROM p WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.job = p.job AND w.target_id = p.target_id AND w.idn = p.idn)""")

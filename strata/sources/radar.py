@@ -61,6 +61,14 @@ def whole(plan: Plan, size: int) -> Plan:
     return plan
 
 
+def signal(plan: Plan, rows: np.ndarray, kind: type) -> np.ndarray:
+    """(traces, samples) around zero; marks at the start of a trace repeat its first sample of signal."""
+    samples = rows["amp"].astype(kind) - kind(plan.zero)
+    if plan.marks:
+        samples[:, : plan.marks] = samples[:, plan.marks : plan.marks + 1]
+    return samples
+
+
 @layout("sgy", "segy")
 def segy_plan(head: bytes, size: int, side: bytes | None) -> Plan:
     need(len(head) >= SEGY_HEAD, "too short for SEG-Y")
@@ -85,34 +93,45 @@ def segy_plan(head: bytes, size: int, side: bytes | None) -> Plan:
     return Plan(SEGY_HEAD, record, fields["interval"] / 1000.0, step if step > 0 else None, place=place)
 
 
+#: Fields of a DZT header at their offsets, and how many bytes it has.
+DZT_HEAD = np.dtype({
+    "names": ["data", "samples", "bits", "per_metre", "span", "channels", "dielectric"], "formats": ["<u2", "<u2", "<u2", "<f4", "<f4", "<u2", "<f4"],
+    "offsets": [2, 4, 6, 14, 26, 52, 54], "itemsize": 1024})
+#: Sample type of each width, and what stands for zero in it.
+DZT_SAMPLES = {8: ("<u1", 2.0**7), 16: ("<u2", 2.0**15), 32: ("<i4", 0.0)}
+
+
 @layout("dzt")
 def dzt_plan(head: bytes, size: int, side: bytes | None) -> Plan:
-    need(len(head) >= 1024, "too short for a DZT header")
-    at, samples, bits = struct.unpack_from("<HHH", head, 2)
-    (per_metre,), (span,), (channels, eps) = struct.unpack_from("<f", head, 14), struct.unpack_from("<f", head, 26), struct.unpack_from("<Hf", head, 52)
-    kinds = {8: ("<u1", 2.0**7), 16: ("<u2", 2.0**15), 32: ("<i4", 0.0)}
-    need(channels <= 1, "several channels in one DZT file are not supported")
-    need(bits in kinds and samples >= 3 and 0 < span < 10_000, "not a DZT layout this reader understands")
-    kind, zero = kinds[bits]
-    start = 1024 * (at if at < 1024 else max(channels, 1))
-    return whole(Plan(start, np.dtype([("amp", kind, (samples,))]), span / samples, 1.0 / per_metre if per_metre > 0 else None, float(eps) if 1.0 <= eps <= 81.0 else None, zero, 2), size)
-
-
-def _mala(width: int) -> Layout:
+    need(len(head) >= DZT_HEAD.itemsize, "too short for a DZT header")
+    h = {name: v.item() for name, v in zip(DZT_HEAD.names, np.frombuffer(head, DZT_HEAD, 1)[0])}
+    kind, zero = DZT_SAMPLES.get(h["bits"], (None, 0.0))
+    need(kind is not None and 0 < h["span"] < 10_000 and h["samples"] > 2, "not a DZT layout this reader understands")
+    need(h["channels"] < 2, "several channels in one DZT file are not supported")
+    blocks = h["data"] if h["data"] < DZT_HEAD.itemsize else max(h["channels"], 1)
+    given = h["dielectric"] if 1 <= h["dielectric"] <= 81 else None
+    step = 1 / h["per_metre"] if h["per_metre"] > 0 else None
+    return whole(Plan(blocks * DZT_HEAD.itemsize, np.dtype([("amp", kind, (h["samples"],))]), h["span"] / h["samples"], step, given, zero, 2), size)
+
+
+def mala_header(side: bytes) -> dict[str, str]:
+    """The header file's lines of `key: value`, keys in capitals."""
+    return {k.upper(): v for k, v in re.findall(r"(?m)^[ \t]*([^:\r\n]+?)[ \t]*:[ \t]*([^\r\n]*?)[ \t]*\r?$", side.decode("latin-1"))}
+
+
+def mala_layout(width: int) -> Layout:
     def plan(head: bytes, size: int, side: bytes | None) -> Plan:
         need(side is not None, "its .rad header is missing")
-        pairs = dict(re.findall(r"(?m)^\s*([^:\r\n]+?)\s*:\s*(.*?)\s*$", side.decode("latin-1")))
-        given = {k.upper(): v for k, v in pairs.items()}
-        samples, frequency = number(given.get("SAMPLES")), number(given.get("FREQUENCY"))
-        need(samples is not None and frequency is not None and samples >= 1 and frequency > 0, "missing or unreadable SAMPLES/FREQUENCY")
-        step = number(given.get("DISTANCE INTERVAL"))
+        given = mala_header(side)
+        samples, frequency, step = (number(given.get(k)) for k in ("SAMPLES", "FREQUENCY", "DISTANCE INTERVAL"))
+        need(bool(samples) and bool(frequency) and samples >= 1 and frequency > 0, "missing or unreadable SAMPLES/FREQUENCY")
         return whole(Plan(0, np.dtype([("amp", f"<i{width}", (int(samples),))]), 1000.0 / frequency, step if step and step > 0 else None), size)
 
     return plan
 
 
-layout("rd3", beside=("rad", "RAD"))(_mala(2))
-layout("rd7", beside=("rad", "RAD"))(_mala(4))
+layout("rd3", beside=("rad", "RAD"))(mala_layout(2))
+layout("rd7", beside=("rad", "RAD"))(mala_layout(4))
 
 
 @layout("rad", "ra1", "ra2")
@@ -203,9 +222,7 @@ class RadarReader(DataSourceReader):
                 rows = np.frombuffer(file.read_at(n * one, plan.start + a * one), plan.record)
                 wrong = plan.check(rows)
                 need(wrong is None, wrong or "")
-                samples = rows["amp"].astype(np.float32) - np.float32(plan.zero)
-                if plan.marks:
-                    samples[:, : plan.marks] = samples[:, plan.marks : plan.marks + 1]
+                samples = signal(plan, rows, np.float32)
                 place = plan.place(rows)
                 width = samples.shape[1]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.array(samples.ravel()))
