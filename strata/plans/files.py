@@ -235,7 +235,7 @@ def _(spark, sf):
     i = C("anchor_id")
     quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"'))
     road = F.concat(F.lit('road "'), C("line_id").cast("string"), F.lit('", Rhs'))
-    number = lambda c: F.format_string("%.9f", c)
+    number = lambda c: c.cast("double").cast("string")
     points = V.anchors(spark, sf).select(F.concat_ws(",", quoted(road), (i % 9).cast("string"), F.when(i % 7 == 0, "n/a").otherwise(number(C("chainage_m"))), number(C("lat")), number(C("lon"))).alias("value"))
     calls = V.callouts(spark, sf).select(F.concat_ws(",", quoted(C("drawing")), C("sheet").cast("string"), C("utility"), F.coalesce(number(C("depth_m")), F.lit("")), F.lit(""), F.lit(""), F.lit("read"), F.lit("text")).alias("value"))
     p = records.parse_table(points, records.POINT_TABLE).select(F.lit("point").alias("kind"), "drawing", "sheet", "chainage_m", F.round("lat", 6).alias("lat"))
@@ -314,3 +314,15 @@ def _(spark, sf):
     j = F.from_json("feature", "geometry struct<coordinates:array<array<double>>>, properties struct<id:string,depth_range_m:array<double>,targets:array<long>>")
     p = export.run_features(m).select(j.alias("j"))
     return p.select("j.properties.id", F.size("j.geometry.coordinates").cast("long").alias("targets"), C("j.properties.depth_range_m")[0].alias("shallow"), C("j.properties.depth_range_m")[1].alias("deep"))
+
+
+@query("C16_target_export", """
+  SELECT CAST(pick_id AS VARCHAR) AS id, CAST(line_id AS VARCHAR) AS line, printf('%.3f', trace * 0.025) AS chainage_m, printf('%.2f', sample * 0.01) AS depth_m, CASE WHEN pick_id % 2 = 0 THEN 'RAD RA1' ELSE 'RAD' END AS channels,
+    CASE WHEN pick_id % 2 = 0 THEN '2' ELSE '1' END AS corroboration, CASE WHEN pick_id % 3 = 0 THEN 'lighter' ELSE '' END AS contrast, CASE WHEN sample * 0.2 < 1.5 THEN 'true' ELSE 'false' END AS near_surface FROM channel_picks""")
+def _(spark, sf):
+    i = C("pick_id")
+    t = V.channel_picks(spark, sf).select(
+        i.cast("string").alias("id"), F.lit("detected").alias("status"), C("line_id").cast("string").alias("line"), (C("trace") * 0.025).alias("chainage_m"), (C("sample") * 0.01).alias("depth_m"), F.lit(0.1).alias("depth_error_m"),
+        F.lit(0.2).alias("horizontal_error_m"), F.lit("assumed").alias("depth_basis"), F.when(i % 2 == 0, F.array(F.lit("RAD"), F.lit("RA1"))).otherwise(F.array(F.lit("RAD"))).alias("channels"),
+        F.when(i % 3 == 0, "lighter").alias("contrast"), F.lit(None).cast("string").alias("reading"), (C("sample") * 0.2 < 1.5).alias("near_surface"))
+    return export.target_export(t).select("id", "line", "chainage_m", "depth_m", "channels", "corroboration", "contrast", "near_surface")

@@ -12,7 +12,6 @@ from strata.operators import sitemap as T
 from strata.operators.findings import latest_per_key
 from strata.plans import views as V
 from strata.plans.registry import query
-from strata.sources import export
 
 C = F.col
 
@@ -220,12 +219,6 @@ def _(spark, sf):
     return t.select("line_id", "target_id", "status", r("trace", "trace"), r("time_ns", "time_ns"), F.round("lat", 9).alias("lat"), r("depth_m", "depth_m"), r("depth_error_m", "depth_error_m"), "depth_basis", "channels", "contrast", "near_surface")
 
 
-@query("C16_target_export", None)
-def _(spark, sf):
-    t = site_map(spark, sf).withColumn("id", C("target_id").cast("string")).withColumn("line", C("line_id").cast("string")).withColumn("reading", F.lit(None).cast("string"))
-    return export.target_export(t)
-
-
 @query("U03_new_proposals", """
   WITH p AS (SELECT job, target_id, lower(trim(identity)) AS idn FROM reviews WHERE status <> 'confirmed'), w AS (SELECT job, target_id, lower(trim(identity)) AS idn FROM reviews WHERE status = 'proposed')
   SELECT DISTINCT job, target_id, idn AS identity FROM p WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.job = p.job AND w.target_id = p.target_id AND w.idn = p.idn)""")
