@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
+from strata.llm.memory import give_back
 from strata.llm.stage import stage
 from strata.llm.text import BYTE_VALUES, PLAIN, U64, owners, prefix_sums, slices, spans
 
@@ -145,6 +146,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", s
     """
     named = docs.select([f"`{c}`" for c in docs.columns if c not in ("held_out", "score", "predicted")])
     model = train(bags(labelled_sample(docs, labels, label, sample)).toArrow())
+    give_back()  # what training has held on the driver
     schema = pa.schema([*to_arrow_schema(named.schema), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
