@@ -26,7 +26,7 @@ SIZE = 8
 SAMPLE = 2000  # labelled rows at most that the model is fitted on: those with the smallest hashes of their ids
 EPOCHS = 8
 RATE = 0.1
-FEATURE_BYTES = 1 << 20  # slices for scoring
+FEATURE_BYTES = 1 << 18  # of text whose features are held at once: some hundred bytes for each of them
 
 
 def _features(part) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -73,8 +73,9 @@ def bags(rows: DataFrame) -> DataFrame:
     """(doc_id, y, ids, shares): the distinct buckets of each document and their shares of its average."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what earlier stages have left with this worker
         for batch in batches:
-            for part in slices(batch["text"]):
+            for part in slices(batch["text"], most=FEATURE_BYTES):
                 keys, weights = [], []
                 for row, bucket in _features(part):
                     keys.append(row.astype(np.int64) * BUCKETS + bucket)
@@ -150,6 +151,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", s
     schema = pa.schema([*to_arrow_schema(named.schema), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what earlier stages have left with this worker
         for batch in batches:
             score = [model.scores(part) for part in slices(batch["text"], most=FEATURE_BYTES)]
             columns = [batch[f.name].cast(f.type) for f in schema if f.name != "score"] + [pa.array(np.concatenate(score) if score else [], pa.float64())]
